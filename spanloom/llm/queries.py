@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hosts, packing, rules, token_store
+from . import hosts, jaccard_join, packing, pii, rules, token_store
 from .storage import materialize, new_path
 
 #: Rules of the URL filter query: verdict, host, path.
@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard_join.shingle_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
@@ -29,6 +34,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(token_store.read_tokens(spark, path))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = rules.measure(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text")
     measured = materialize(measured, "measured")
@@ -53,8 +62,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op3_packing": op3_packing,
         "op7_token_store": op7_token_store,
+        "op8_pii": op8_pii,
         "op9_quality_rules": op9_quality_rules,
         "op10_url_filter": op10_url_filter,
     }
