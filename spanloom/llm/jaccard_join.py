@@ -205,7 +205,7 @@ def _sketches(num: int, den: int) -> Callable:
                     counts, content = sketch(h, cls, num, den)
                     rows.append((sid, cls, len(h), counts.astype(np.uint32).tobytes(), (content >> U(32)).astype(np.uint32).tobytes()))
                 c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["sid", "cls", "n", "counts", "contents"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["sid", "cls", "n", "counts", "contents"]).append_column("marks", pa.nulls(len(rows), pa.binary()))
 
     return run
 
@@ -219,6 +219,8 @@ def _search(num: int, den: int, best: bool) -> Callable:
             return
         counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint32).reshape(len(t), -1)
         contents = np.frombuffer(b"".join(t.column("contents").to_pylist()), np.uint32).reshape(len(t), -1)
+        own = t.column("marks").to_pylist()
+        marks = np.frombuffer(b"".join(own), np.int64).reshape(len(t), -1) if own[0] is not None else None
         groups, here, two = counts.shape[1], int(at["cg"].min() & 0xFFFFFFFF), at["mine"][0] >> 20 != at["mine"][0] & 0xFFFFF
         for i, j, bound in CountTree(counts, at["n"]).pairs(num, den):
             ok = at["comp"][i] != at["comp"][j]
@@ -231,7 +233,10 @@ def _search(num: int, den: int, best: bool) -> Callable:
                 filled = counts[a] > 0
                 equal = same & same_count & filled
                 bd = bd - (same_count & filled & ~same).sum(1)
-                both = np.concatenate([equal, ~filled & (counts[b] == 0)], axis=1) if here >= groups else equal
+                if marks is not None:
+                    both = marks[a] == marks[b]
+                else:
+                    both = np.concatenate([equal, ~filled & (counts[b] == 0)], axis=1) if here >= groups else equal
                 ok = (bd >= needed(at["n"][a] + at["n"][b], num, den)) & (both.argmax(1) == here)
                 if ok.any():
                     yield a[ok], b[ok], bd[ok]
@@ -279,27 +284,31 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a long, b long")
 
 
-def link_sets(live: DataFrame, sets: DataFrame, num: int, den: int, tile: int = TILE) -> DataFrame:
-    """a, b: verified links that span the components of all sets; ``live`` has block, cg, sid and ``sets`` sid, hashes."""
+def link_sets(live: DataFrame, sets: DataFrame, num: int, den: int, tile: int = TILE, sketches: Callable | None = None) -> DataFrame:
+    """a, b: verified links that span the components of all sets.
+
+    ``live`` has block, cg (class << 32 | mark) and sid, ``sets`` sid and hashes. ``sketches`` gives each set's points; marks say in
+    which of its blocks a pair meets first, and are the groups' contents where null.
+    """
     blocks = live.groupBy("block", "sid").agg(F.min("cg").alias("cg"))
     hot = blocks.groupBy("block").count().where(F.col("count") > tile).select("block", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     tiled = blocks.join(hot, "block", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("long"))
     mine = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda k: F.least(k, F.col("tile")) * (1 << 20) + F.greatest(k, F.col("tile")))
     tiled = tiled.select("block", F.explode(mine).alias("mine"), "cg", F.shiftright("cg", 32).alias("cls"), "sid", "tile")
-    points = materialize(sets.mapInArrow(_sketches(num, den), "sid long, cls long, n long, counts binary, contents binary"), "points")
+    points = materialize(sets.mapInArrow(sketches or _sketches(num, den), "sid long, cls long, n long, counts binary, contents binary, marks binary"), "points")
     dealt = materialize(tiled, "blocks")
 
     def search(labels: DataFrame | None) -> DataFrame:
         at = points.withColumn("comp", F.col("sid"))
         if labels is not None:
             at = points.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
-        rows = dealt.join(at.select("sid", "cls", "n", "counts", "contents", "comp"), ["sid", "cls"])
+        rows = dealt.join(at.select("sid", "cls", "n", "counts", "contents", "marks", "comp"), ["sid", "cls"])
         if labels is not None:  # a block of one component is done
             open_ = rows.groupBy("block", "mine").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("block", "mine")
             rows = rows.join(open_, ["block", "mine"])
         cell = F.xxhash64("block", "mine").alias("cell")
-        rows = rows.select(cell, "block", "mine", "cg", "sid", "n", "tile", "comp", "counts", "contents")
+        rows = rows.select(cell, "block", "mine", "cg", "sid", "n", "tile", "comp", "counts", "contents", "marks")
         found = rows.repartition("cell").sortWithinPartitions("cell", "block", "mine", "sid").mapInArrow(_search(num, den, labels is None), "a long, b long, like double")
         return found.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b")) if labels is None else found
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hosts, jaccard_join, licences, packing, pii, rules, token_store
+from . import cotrain, decontam, hosts, jaccard_join, licences, packing, passages, pii, rules, token_store
 from .storage import materialize, new_path
 
 #: Rules of the URL filter query: verdict, host, path.
@@ -32,10 +32,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return cotrain.score(table(spark, sf_dir, "documents"), labels)
+
+
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -73,7 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_decontamination": op2_decontamination,
         "op3_packing": op3_packing,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_licences": op5_licences,
+        "op6_passages": op6_passages,
         "op7_token_store": op7_token_store,
         "op8_pii": op8_pii,
         "op9_quality_rules": op9_quality_rules,

@@ -67,8 +67,8 @@ def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - starts[owner]
 
 
-def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and the sorted distinct hashes of each text's k-word shingles; fewer words count as one shingle, none as none."""
+def shingle_sets(texts: pa.Array, k: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and the sorted distinct hashes of each text's k-word shingles; fewer words count as one shingle; texts of less than ``least`` words have none."""
     offsets, flat = split_words(texts)
     w = hash_values(flat)
     n = np.diff(offsets)
@@ -77,8 +77,8 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(k):
         h = mix(h * U(0x9E3779B97F4A7C15) + padded[j : j + len(w)])
     owner, pos = segments(n)
-    ok = pos <= (n - k)[owner]
-    short = np.flatnonzero((n > 0) & (n < k))
+    ok = pos <= np.where(n >= least, n - k, -1)[owner]
+    short = np.flatnonzero((n >= max(least, 1)) & (n < k))
     tail = [xxhash.xxh3_64_intdigest(w[offsets[i] : offsets[i + 1]].tobytes(), seed=int(n[i])) for i in short]
     owner = np.concatenate([owner[ok], short])
     h = np.concatenate([h[ok], np.array(tail, U)])
