@@ -16,8 +16,10 @@ def islands(x: DataFrame, keys: Sequence[str], max_dist: int = 0, width: int | N
     width = chunk_width(x, keys, "start") if width is None else width
     order = ["start", "end"]
     x = running(x, keys, order, {"__prev": ("max_before", c("end"))}, width)
-    opens = F.when(c("__prev").isNull() | (c("__prev") + max_dist < c("start")), c("start"))
-    return running(x.withColumn("__opens", opens), keys, order, {"__island": ("last", c("__opens"))}, width).drop("__prev", "__opens")
+    x = x.withColumn("__opens", F.when(c("__prev").isNull() | (c("__prev") + max_dist < c("start")), c("start")))
+    if width:  # rows are sorted anew: of equal rows, the one that opens goes first again
+        x, order = x.withColumn("__tie", c("__opens").isNull()), [*order, "__tie"]
+    return running(x, keys, order, {"__island": ("last", c("__opens"))}, width).drop("__prev", "__opens", "__tie")
 
 
 def merged(x: DataFrame, keys: Sequence[str], max_dist: int = 0, width: int | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """bigWig and bigBed as a Spark data source, after the published format: header, chromosome B+ tree, R-tree of data blocks.
 
 ``spark.read.format("bigwig").load(path)``; option ``regions`` ("chr1:100-200,chr2:0-50", or a chromosome alone) reads only the
-blocks that meet them, and equality filters on chrom and bounds on start and end are pushed down when
-``spark.sql.python.filterPushdown.enabled`` is set. Runs of data blocks are the partitions. Paths are local to every executor (a
+blocks that meet them, and equality filters on chrom and bounds on start and end are pushed down with option ``pushdown``, which
+``read_bigwig`` and ``read_bigbed`` set where ``spark.sql.python.filterPushdown.enabled`` is. Runs of data blocks are the partitions. Paths are local to every executor (a
 mounted store); ``register(spark)`` makes the formats known.
 """
 
@@ -130,17 +130,6 @@ class _Reader(DataSourceReader):
         self.path, self.magic, self.names, self.regions = path, magic, names, regions
         self.chrom, self.low, self.high = None, None, None
 
-    def pushFilters(self, filters):
-        for f in filters:
-            name = ".".join(f.attribute) if hasattr(f, "attribute") else ""
-            if isinstance(f, EqualTo) and name == "chrom":
-                self.chrom = f.value
-            elif name == "end" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                self.low = max(self.low or 0, f.value - isinstance(f, GreaterThanOrEqual))
-            elif name == "start" and isinstance(f, (LessThan, LessThanOrEqual)):
-                self.high = min(self.high or 2**32, f.value + isinstance(f, LessThanOrEqual))
-            yield f  # blocks are pruned here, rows by Spark
-
     def _wanted(self, h: Header) -> list[tuple[int, int, int]] | None:
         if self.regions is None and self.chrom is None and self.low is None and self.high is None:
             return None
@@ -176,6 +165,21 @@ class _Reader(DataSourceReader):
                         yield names[chrom], s, e, *rest
 
 
+class _PushedReader(_Reader):
+    """Spark accepts this method only where filter pushdown is enabled."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = ".".join(f.attribute) if hasattr(f, "attribute") else ""
+            if isinstance(f, EqualTo) and name == "chrom":
+                self.chrom = f.value
+            elif name == "end" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low or 0, f.value - isinstance(f, GreaterThanOrEqual))
+            elif name == "start" and isinstance(f, (LessThan, LessThanOrEqual)):
+                self.high = min(self.high or 2**32, f.value + isinstance(f, LessThanOrEqual))
+            yield f  # blocks are pruned here, rows by Spark
+
+
 class BigWigSource(DataSource):
     """Format "bigwig": chrom, start, end, value."""
 
@@ -193,7 +197,8 @@ class BigWigSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         text = self.options.get("regions")
-        return _Reader(self.options["path"], self.MAGIC, self._names(), None if text is None else parse_regions(text))
+        kind = _PushedReader if self.options.get("pushdown") == "true" else _Reader
+        return kind(self.options["path"], self.MAGIC, self._names(), None if text is None else parse_regions(text))
 
 
 class BigBedSource(BigWigSource):
@@ -223,7 +228,7 @@ def register(spark: SparkSession) -> None:
 
 def _load(spark: SparkSession, kind: str, path: str, regions: list[tuple[str, int, int]] | None) -> DataFrame:
     register(spark)
-    reader = spark.read.format(kind)
+    reader = spark.read.format(kind).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     if regions is not None:
         reader = reader.option("regions", ",".join(f"{n}:{a}-{z}" for n, a, z in regions))
     return reader.load(path)
