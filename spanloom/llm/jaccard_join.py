@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -33,6 +33,8 @@ from .words import U, mix, segments, shingle_sets, slices
 
 #: Ratio of the size classes' bounds.
 RATIO = 1.4
+#: Blocks of a set that the first round looks into.
+FIRST = 4
 #: Members of a block that one R-tree takes.
 TILE = 4000
 
@@ -79,6 +81,17 @@ def sketch(h: np.ndarray, cls: int, num: int, den: int) -> tuple[np.ndarray, np.
     return counts, content
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Group counts in two bytes each, or four if one needs it."""
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(rows: list[bytes], groups: int) -> np.ndarray:
+    if all(len(r) == 2 * groups for r in rows):
+        return np.frombuffer(b"".join(rows), np.uint16).reshape(len(rows), groups)
+    return np.stack([np.frombuffer(r, np.uint16 if len(r) == 2 * groups else np.uint32).astype(np.uint32) for r in rows])
+
+
 def _members(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -203,7 +216,7 @@ def _sketches(num: int, den: int) -> Callable:
                 rows = []
                 for cls in classes_of(len(h), num, den):
                     counts, content = sketch(h, cls, num, den)
-                    rows.append((sid, cls, len(h), counts.astype(np.uint32).tobytes(), (content >> U(32)).astype(np.uint32).tobytes()))
+                    rows.append((sid, cls, len(h), packed(counts), (content >> U(32)).astype(np.uint32).tobytes()))
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["sid", "cls", "n", "counts", "contents"]).append_column("marks", pa.nulls(len(rows), pa.binary()))
 
@@ -217,8 +230,8 @@ def _search(num: int, den: int, best: bool) -> Callable:
         at = {c: t.column(c).to_numpy() for c in ("cg", "sid", "n", "comp", "tile", "mine")}
         if at["comp"].min() == at["comp"].max():
             return
-        counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint32).reshape(len(t), -1)
         contents = np.frombuffer(b"".join(t.column("contents").to_pylist()), np.uint32).reshape(len(t), -1)
+        counts = unpacked(t.column("counts").to_pylist(), contents.shape[1])
         own = t.column("marks").to_pylist()
         marks = np.frombuffer(b"".join(own), np.int64).reshape(len(t), -1) if own[0] is not None else None
         groups, here, two = counts.shape[1], int(at["cg"].min() & 0xFFFFFFFF), at["mine"][0] >> 20 != at["mine"][0] & 0xFFFFF
@@ -237,7 +250,9 @@ def _search(num: int, den: int, best: bool) -> Callable:
                     both = marks[a] == marks[b]
                 else:
                     both = np.concatenate([equal, ~filled & (counts[b] == 0)], axis=1) if here >= groups else equal
-                ok = (bd >= needed(at["n"][a] + at["n"][b], num, den)) & (both.argmax(1) == here)
+                ok = bd >= needed(at["n"][a] + at["n"][b], num, den)
+                if not best:  # in the pair's first common block only
+                    ok &= both.argmax(1) == here
                 if ok.any():
                     yield a[ok], b[ok], bd[ok]
 
@@ -300,13 +315,17 @@ def link_sets(live: DataFrame, sets: DataFrame, num: int, den: int, tile: int =
     dealt = materialize(tiled, "blocks")
 
     def search(labels: DataFrame | None) -> DataFrame:
-        at = points.withColumn("comp", F.col("sid"))
-        if labels is not None:
-            at = points.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
-        rows = dealt.join(at.select("sid", "cls", "n", "counts", "contents", "marks", "comp"), ["sid", "cls"])
-        if labels is not None:  # a block of one component is done
+        if labels is None:
+            # the first round looks into each set's FIRST blocks by hash: likely the same for like sets; the second is complete
+            order = Window.partitionBy("sid").orderBy(F.xxhash64("block"), "block", "mine")
+            rows = dealt.withColumn("k", F.row_number().over(order)).where(F.col("k") <= FIRST).drop("k").withColumn("comp", F.col("sid"))
+        else:
+            named = labels.select(F.col("node").alias("sid"), "component")
+            rows = dealt.join(named, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+            # a block of one component is done
             open_ = rows.groupBy("block", "mine").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("block", "mine")
             rows = rows.join(open_, ["block", "mine"])
+        rows = rows.join(points, ["sid", "cls"])
         cell = F.xxhash64("block", "mine").alias("cell")
         rows = rows.select(cell, "block", "mine", "cg", "sid", "n", "tile", "comp", "counts", "contents", "marks")
         found = rows.repartition("cell").sortWithinPartitions("cell", "block", "mine", "sid").mapInArrow(_search(num, den, labels is None), "a long, b long, like double")

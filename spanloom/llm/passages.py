@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .jaccard_join import TILE, _live, _sets, group_index, link_sets, set_ids
+from .jaccard_join import TILE, _live, _sets, group_index, link_sets, packed, set_ids
 from .storage import materialize
 from .words import U, mix, segments, shingle_sets, slices
 
@@ -108,7 +108,7 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             content = np.zeros(GROUPS, U)
             np.add.at(content, g, mix(h))
             marks = bands_of(np.array([0, len(h)]), h)
-            rows.append((sid, 0, len(h), np.bincount(g, minlength=GROUPS).astype(np.uint32).tobytes(), (content >> U(32)).astype(np.uint32).tobytes(), marks.tobytes()))
+            rows.append((sid, 0, len(h), packed(np.bincount(g, minlength=GROUPS)), (content >> U(32)).astype(np.uint32).tobytes(), marks.tobytes()))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["sid", "cls", "n", "counts", "contents", "marks"])
 
