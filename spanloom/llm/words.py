@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import xxhash
 
 U = np.uint64
+#: Texts of letters that NFC leaves alone and that lower-case to one letter.
+PLAIN = regex.compile("[\x00-\u012f\u0131-\u024f]*")
+#: The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = dict(zip(_SHOWN + [b for b in range(256) if b not in _SHOWN], [chr(b) for b in _SHOWN] + [chr(256 + i) for i in range(256 - len(_SHOWN))], strict=True))
 #: Text bytes that a kernel takes at once; one longer text is taken alone.
 SLICE_BYTES = 4 << 20
 
@@ -106,10 +113,45 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = self._piece_pattern()
         self.forget()
 
+    def _piece_pattern(self):
+        """The pre-tokenizer's pattern if a chunk's ids are those of its pieces: NFC, white space and case folding, split, byte letters."""
+        said = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
+        pre = (said["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in pre] != ["Split", "ByteLevel"]:
+            return None
+        if not pre[0]["invert"] or pre[0]["behavior"] != "Removed" or pre[1]["use_regex"] or pre[1]["add_prefix_space"]:
+            return None
+        return regex.compile(pre[0]["pattern"]["Regex"])
+
+    def _encode(self, new: list[bytes]) -> list[list[int]]:
+        """Ids of chunks that are not known. A chunk of plain letters (below U+0250, which NFC keeps) is put together from its pieces' ids."""
+        texts = [w.decode() for w in new]
+        out: list = [None] * len(new)
+        if self.pieces:
+            find, of, tokenize = self.pieces.findall, self.of_piece, self.tokenizer.model.tokenize
+            for i, t in enumerate(texts):
+                if "<|" in t or not (t.isascii() or PLAIN.fullmatch(t)):
+                    continue
+                ids: list[int] = []
+                for p in find(t.lower()):
+                    got = of.get(p)
+                    if got is None:
+                        letters = p if p.isascii() and p.isprintable() else "".join(BYTE_LETTERS[b] for b in p.encode())
+                        got = of[p] = [x.id for x in tokenize(letters)]
+                    ids += got
+                out[i] = ids
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.of_piece: dict[str, list[int]] = {}
         self.sizes = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
@@ -145,9 +187,8 @@ class Chunks:
             self.forget()
         known = self.known
         if new := [w for w in words if w not in known]:
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            got = [e.ids for e in encoded]
+            got = self._encode(new)
             self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, got), np.int64, len(got))])
             self.pool = np.concatenate([self.pool, np.fromiter((x for e in got for x in e), np.uint32)])
         start = (np.cumsum(self.sizes) - self.sizes)
