@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontam, jaccard_join, packing, pii, rules
+from spanloom.llm.sieve import sieve, sifted
 from spanloom.llm.storage import materialize, new_path
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the ids in the one column of ``ids``."""
-    return docs.join(ids.toDF("_id").where("_id is not null").distinct(), F.col("doc_id") == F.col("_id"), "left_anti")
+    """``docs`` without the ids in the one column of ``ids``; only rows that a Bloom filter can't clear are joined."""
+    ids = materialize(ids.toDF("_id").where("_id is not null").distinct(), "dropped")
+    words = sieve(ids)
+    maybe = sifted(docs, words).join(ids, F.col("doc_id") == F.col("_id"), "left_anti")
+    return sifted(docs, words, inside=False).unionByName(maybe)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

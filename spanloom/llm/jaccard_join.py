@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rtree import CountTree, needed
+from .sieve import sieve, sifted
 from .storage import materialize
 from .words import U, mix, segments, shingle_sets, slices
 
@@ -348,7 +349,7 @@ def shingle_components(docs: DataFrame, k: int, num: int, den: int, tile: int =
     wanted = live.select("sid").distinct()
     reps = members.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid")
     reps = materialize(reps.select(F.col("doc_id").alias("rep"), "sid"), "reps")
-    texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "sid")
+    texts = sifted(docs, sieve(reps.select("rep"))).join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "sid")
     sets = materialize(texts.mapInArrow(_sets(k), "sid long, hashes binary").dropDuplicates(["sid"]), "sets")
     labels = components(link_sets(live, sets, num, den, tile))
     named = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))

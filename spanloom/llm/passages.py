@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .jaccard_join import TILE, _live, _sets, group_index, link_sets, packed, set_ids
+from .sieve import sieve, sifted
 from .storage import materialize
 from .words import U, mix, segments, shingle_sets, slices
 
@@ -125,7 +126,7 @@ def repeated(docs: DataFrame, least: int = 10, tile: int = TILE) -> DataFrame:
     where = F.struct("doc_id", "line", "start", "length")
     counts = spans.groupBy("sid").agg(F.count("*").alias("n"), F.min(where).alias("at"))
     reps = materialize(counts.join(live.select("sid").distinct(), "sid").select("sid", F.col("at.doc_id").alias("rep"), "at.start", "at.length"), "reps")
-    texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.substring("text", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("text"), "sid")
+    texts = sifted(docs, sieve(reps.select("rep"))).join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.substring("text", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("text"), "sid")
     sets = materialize(texts.mapInArrow(_sets(K), "sid long, hashes binary").dropDuplicates(["sid"]), "sets")
     labels = components(link_sets(live, sets, NUM, DEN, tile, _points)).withColumnRenamed("node", "sid")
     labelled = counts.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
