@@ -26,6 +26,8 @@ UNITS = ["km", "m", "cm", "mm", "kg", "g", "mg", "lb", "l", "ml", "h", "hours",
 WINDOW = 8
 #: Windows of the benchmark in one broadcast (about 50 bytes each).
 BLOCK = 1_000_000
+#: Bits of the map that spares most windows the join; it only saves work, so its size is fixed.
+BITS = 1 << 18
 
 
 def _canonical(word: Column, before: Column, first: Column) -> Column:
@@ -39,37 +41,42 @@ def _canonical(word: Column, before: Column, first: Column) -> Column:
         unit = low.isin(UNITS) & (F.substring(prev, 1, 1) >= "0") & (F.substring(prev, 1, 1) <= "9")
         second = F.substring(c, 2, 1)
         name = (head != F.lower(head)) & (second == F.lower(second)) & ~first & ~F.substring(before, -1, 1).isin(".", "!", "?", ":", "\"")
-        kind = F.when(number, "\x01n").when(unit, "\x01u").when(name, "\x01p")
-        return F.struct(F.coalesce(kind, low).alias("t"), F.when(kind.isNotNull(), low).otherwise(F.lit("")).alias("v"))
+        slot = lambda kind: F.struct(F.lit(kind).alias("t"), low.alias("v"))
+        return F.when(number, slot("\x01n")).when(unit, slot("\x01u")).when(name, slot("\x01p")).otherwise(F.struct(low.alias("t"), F.lit("").alias("v")))
 
     return let(core, typed)
 
 
-def windows(df: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
-    """keep columns, size, pos, total (words), hash and values of every window of ``text``."""
+def windows(df: DataFrame, sizes: list[int], keep: list[str], bits: list[int] | None = None) -> DataFrame:
+    """keep columns, size, pos, total (words), hash and values of every window of ``text``.
+
+    With ``bits``, a fixed-size bitmap of wanted hashes, only windows whose bit is set become rows.
+    """
     raw = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
     typed = let(raw, lambda ws: F.filter(F.transform(ws, lambda w, i: _canonical(w, F.when(i > 0, F.get(ws, i - 1)).otherwise(F.lit("")), i == 0)), lambda x: x["t"] != ""))
+    wanted = None if bits is None else F.lit(bits)
 
     def cut(xs: Column) -> Column:
         hashes = F.transform(xs, lambda x: F.xxhash64(x["t"]))
         values = F.transform(xs, lambda x: x["v"])
-        filled = F.transform(xs, lambda x: F.when(x["v"] == "", 0).otherwise(1))
 
         def of(z: Column) -> Column:
             n = F.size(z["h"])
 
             def sized(s: int) -> Column:
                 at = F.when(n >= s, F.sequence(F.lit(1), n - s + 1)).otherwise(F.array().cast("array<int>"))
-                values = lambda i: F.when(z["any"], F.array_join(F.slice(z["v"], i, s), "\x02")).otherwise(F.lit("\x02" * (s - 1)))
+                hash_at = lambda i: F.xxhash64(F.slice(z["h"], i, s))
+                if wanted is not None:
+                    at = F.filter(at, lambda i: let(hash_at(i), lambda h: F.getbit(F.get(wanted, _word(h)), _bit(h)) == 1))
                 return F.transform(
                     at,
-                    lambda i: F.struct(F.lit(s).alias("size"), i.alias("pos"), n.alias("total"), F.xxhash64(F.slice(z["h"], i, s)).alias("hash"), values(i).alias("values")),
+                    lambda i: F.struct(F.lit(s).alias("size"), i.alias("pos"), n.alias("total"), hash_at(i).alias("hash"), F.array_join(F.slice(z["v"], i, s), "\x02").alias("values")),
                 )
 
             per = [sized(s) for s in sizes]
             return F.concat(*per) if len(per) > 1 else per[0]
 
-        return let(F.struct(hashes.alias("h"), values.alias("v"), F.array_contains(filled, 1).alias("any")), of)
+        return let(F.struct(hashes.alias("h"), values.alias("v")), of)
 
     out = df.select(*keep, F.explode(let(typed, cut)).alias("w")).select(*keep, "w.*")
     # at least half of a window's words are ordinary
@@ -78,6 +85,24 @@ def windows(df: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
     return out.where(F.when(ordinary, F.lit(True)).otherwise(half))
 
 
+def _word(h: Column) -> Column:
+    """Index of the bitmap's word of a hash."""
+    return F.shiftright(h, 6).bitwiseAND(BITS // 64 - 1).cast("int")
+
+
+def _bit(h: Column) -> Column:
+    return h.bitwiseAND(63).cast("int")
+
+
+def bitmap(bench: DataFrame) -> list[int]:
+    """Bits of the benchmark's hashes; at most ``BITS`` / 64 rows come to the driver."""
+    rows = bench.groupBy(_word(F.col("hash")).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("hash")))).alias("b")).collect()
+    out = [0] * (BITS // 64)
+    for r in rows:
+        out[r.w] = r.b
+    return out
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, size, item_pos, n_windows, hash, item_values of the benchmark's windows."""
     words = windows(benchmark, list(range(1, window + 1)), ["item_id"])
@@ -93,7 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     if not sizes:
         sizes = [window]
     parts = -(-max(n, 1) // BLOCK)
-    said = windows(docs.select("doc_id", "text"), sizes, ["doc_id"])
+    said = windows(docs.select("doc_id", "text"), sizes, ["doc_id"], bitmap(bench))
     hits = reduce(
         DataFrame.unionByName,
         (said.join(F.broadcast(bench.where(F.pmod("block", F.lit(parts)) == p).drop("block")), ["hash", "size"]) for p in range(parts)),
