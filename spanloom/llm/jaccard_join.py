@@ -30,7 +30,7 @@ from .components import components
 from .rtree import CountTree, needed
 from .sieve import sieve, sifted
 from .storage import materialize
-from .words import U, mix, segments, shingle_sets, slices
+from .words import U, mix, release, segments, shingle_sets, slices
 
 #: Ratio of the size classes' bounds.
 RATIO = 1.4
@@ -176,6 +176,7 @@ def whole_runs(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = 1
             held, rows, partial = [], 0, k[-1]
     if held:
         yield pa.Table.from_batches(held), False
+    release()
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

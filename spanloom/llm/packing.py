@@ -98,8 +98,8 @@ def _pack_partitions(path: str, size: int, open_windows: int, end_id: int, keep:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        packer, encode = Packer(size, open_windows, part << 32), chunks(path)
-        for b in slices(batches, limit=8 << 20):
+        packer, encode = Packer(size, open_windows, part << 32), chunks(path, kept=200_000)
+        for b in slices(batches):
             offsets, ids = encode.ids(b.column(b.schema.get_field_index("text")))
             for i, doc_id in enumerate(b.column(b.schema.get_field_index("doc_id")).to_pylist()):
                 packer.add(doc_id, np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)))

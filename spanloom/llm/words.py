@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ PLAIN = regex.compile("[\x00-\u012f\u0131-\u024f]*")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = dict(zip(_SHOWN + [b for b in range(256) if b not in _SHOWN], [chr(b) for b in _SHOWN] + [chr(256 + i) for i in range(256 - len(_SHOWN))], strict=True))
 #: Text bytes that a kernel takes at once; one longer text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -36,6 +37,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
+
+
+def release() -> None:
+    """Give a finished task's memory back: an idle worker stays beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -202,11 +213,12 @@ class Chunks:
 _CHUNKS: dict[str, Chunks] = {}
 
 
-def chunks(path: str) -> Chunks:
-    """The worker's encoder for a vocabulary file, kept between tasks."""
+def chunks(path: str, kept: int = Chunks.KEPT) -> Chunks:
+    """The worker's encoder for a vocabulary file, kept between tasks, with at most ``kept`` chunks (or those of a slice)."""
     if path not in _CHUNKS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _CHUNKS[path] = Chunks(path)
+    _CHUNKS[path].KEPT = kept
     return _CHUNKS[path]
