@@ -21,6 +21,8 @@ from .storage import with_private_text
 from .words import chunks, slices
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
+#: Parts whose first positions are broadcast.
+MOST_PARTS = 1_000_000
 STRIPE_BYTES, ROW_INDEX = 64 << 20, 2000
 
 
@@ -29,7 +31,7 @@ def _encode(path: str, end_id: int) -> Callable:
         from pyspark import TaskContext
 
         part, encode, done = TaskContext.get().partitionId(), chunks(path), 0
-        for b in slices(batches):
+        for b in slices(batches, limit=8 << 20):
             offsets, ids = encode.ids(b.column(b.schema.get_field_index("text")))
             n = np.diff(offsets) + 1
             ends = np.concatenate([[0], np.cumsum(n)])
@@ -69,8 +71,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids of a store."""
     stored = spark.read.schema(SCHEMA).orc(path)
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row per file
+    few = (stored.agg(F.max("part").alias("p")).head().p or 0) < MOST_PARTS  # 16 bytes a part: then the ids needn't be shuffled
     base = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return stored.join(base, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return stored.join(F.broadcast(base) if few else base, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
