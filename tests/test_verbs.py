@@ -238,7 +238,7 @@ def test_distributions():
             assert abs(binomial_cdf(k, n, p) - sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) < 1e-10
     found = fisher_exact(3, 1, 1, 3)
     assert abs(found["p.value"] - 0.4857142857) < 1e-9 and abs(found["estimate"] - 6.408309) < 1e-4
-    assert abs(found["conf.low"] - 0.2117329) < 1e-5 and abs(found["conf.high"] - 621.9337505) < 1e-3
+    assert abs(found["conf.low"] - 0.2117329) < 1e-5 and abs(found["conf.high"] - 626.2435306) < 1e-4  # where P(X <= 3) is 0.025
 
 
 def test_random_and_shuffle(spark):
