@@ -1,14 +1,21 @@
-"""Substring deduplication by paragraph MinHash banding.
+"""Substring deduplication by paragraph MinHash banding and winnowed pieces.
 
 Paragraphs are lines of at least ``least`` words. A paragraph's set of 5-word shingles gives ``BANDS`` bands of ``ROWS`` minima;
 at Jaccard 0.8 a pair shares a band with probability 1 - (1 - 0.8^ROWS)^BANDS > 0.9997. Paragraphs that share a band are
 bounded by their count vectors, verified by exact Jaccard, and joined into components; of each component the first occurrence
 (smallest document, then line) stays.
 
+Passages that are no lines of their own are found by pieces of ``PIECE`` words over the whole text, whatever its lines: of every
+``WINDOW`` successive ones the piece with the smallest hash is taken. Any run of ``PIECE + WINDOW - 1`` = 50 equal words has a
+piece in common wherever it stands, and pieces that follow each other leave no word out, so a repeated run is covered but for
+less than ``WINDOW`` words at either end. Pieces are equal or not; changed passages are found by what runs on for 50 words, or
+as paragraphs. Pieces that stand in repeated paragraphs wherever they occur are not reported again.
+
 Equal sets are one point, so copies meet only in counts; pairs are found as in ``jaccard_join`` and never expanded per group.
 
 Edge cases: null and empty texts have no paragraphs; a null id sorts first; repeated rows hold repeated paragraphs; an empty
-table returns no rows; texts of any length are cut into lines as they come; other columns are ignored.
+table returns no rows; texts of any length are cut into lines as they come; texts under 50 words have no pieces; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -18,17 +25,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .jaccard_join import TILE, _live, _sets, group_index, link_sets, packed, set_ids
 from .sieve import sieve, sifted
 from .storage import materialize
-from .words import U, mix, segments, shingle_sets, slices
+from .words import U, hash_values, mix, segments, shingle_sets, slices, split_words
 
 K, NUM, DEN = 5, 8, 10
 BANDS, ROWS = 12, 3
+#: Words of a piece, and successive pieces of which one is taken.
+PIECE, WINDOW = 26, 25
 #: Groups of the count vectors that bound a colliding pair.
 GROUPS = 64
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
@@ -46,6 +56,50 @@ def paragraphs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return owner, line, step - step[first], length, flat
 
 
+def _grams(w: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each word on, of doubled parts."""
+    ahead = lambda x, s: np.concatenate([x[s:], np.zeros(min(s, len(x)), U)])
+    join = lambda x, y: mix(x * U(0x9E3779B97F4A7C15) + y)
+    out, done, part, s = np.full(len(w), U(size)), 0, w, 1
+    while s <= size:
+        if size & s:
+            out, done = join(out, ahead(part, done)), done + s
+        part, s = join(part, ahead(part, s)), 2 * s
+    return out
+
+
+def pieces(offsets: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the pieces that winnowing takes, by word offsets per text and the words' hashes."""
+    n = np.diff(offsets)
+    m = max(len(w) - PIECE - WINDOW + 2, 0)  # windows
+    g = _grams(w, PIECE)
+    # the place stands in the low bits: of equal hashes the last is taken
+    low = U((1 << 28) - 1)
+    best, s = (g & ~low) | (low - np.arange(len(g), dtype=U)), 1
+    while 2 * s <= WINDOW:
+        best, s = np.minimum(best[:-s], best[s:]), 2 * s
+    best = np.minimum(best[:m], best[WINDOW - s : WINDOW - s + m])
+    owner, pos = segments(n)
+    took = np.unique((low - (best & low))[(pos <= n[owner] - PIECE - WINDOW + 1)[:m]].astype(np.int64))
+    return took, g[took]
+
+
+def word_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end (code points of the text) and line number of every word."""
+    texts = texts.cast(pa.large_binary())
+    own = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[own[0] : own[-1]]
+    own = own - own[0]
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    before, after = np.concatenate([[True], blank]), np.concatenate([blank, [True]])
+    before[own], after[own] = True, True
+    first, end = np.flatnonzero(~blank & before[:-1]), np.flatnonzero(~blank & after[1:]) + 1
+    text = own[np.searchsorted(own, first, "right") - 1]
+    point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    line = np.concatenate([[0], np.cumsum(data == 10)])
+    return point[first] - point[text], point[end] - point[text], line[first] - line[text]
+
+
 def bands_of(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Band hashes (sets x BANDS) of non-empty sets."""
     out = np.empty((len(offsets) - 1, BANDS), U)
@@ -63,15 +117,34 @@ def _filled(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keep, np.concatenate([offsets[keep], offsets[-1:]])
 
 
+#: Columns of paragraphs and pieces; the last three are null for paragraphs.
+SPANS = ["doc_id", "line", "start", "length", "sid", "piece", "last", "text_hash"]
+
+
 def _spans(least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             owner, line, start, length, flat = paragraphs(b.column(1))
-            offsets, h = shingle_sets(flat, K, least)
+            words, w = split_words(flat)
+            w = hash_values(w)
+            offsets, h = shingle_sets(flat, K, least, (words, w))
             keep = np.flatnonzero(np.diff(offsets))
-            sid = set_ids(offsets, h)[keep]
-            cols = [b.column(0).take(pa.array(owner[keep])), *(pa.array(x[keep].astype(np.int64)) for x in (line, start, length)), pa.array(sid)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "line", "start", "length", "sid"])
+            sid = set_ids(offsets, h)
+            cols = [b.column(0).take(pa.array(owner[keep])), *(pa.array(x[keep].astype(np.int64)) for x in (line, start, length, sid))]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(keep), pa.int64()) for _ in range(3))], names=SPANS)
+            words = words[np.searchsorted(owner, np.arange(b.num_rows + 1))]  # of texts instead of lines
+            took, piece = pieces(words, w)
+            if not len(took):
+                continue
+            begin, end, on = word_places(b.column(1))
+            of, last = np.searchsorted(words, took, "right") - 1, took + PIECE - 1
+            # sets of a piece's first and last line; 0 if a further line with words is between them
+            turns = np.concatenate([[0], np.cumsum(on[1:] != on[:-1])])
+            row = np.searchsorted(owner, of)
+            near = turns[last] - turns[took] <= 1
+            one, two = (np.where(near, sid[row + on[x]], 0) for x in (took, last))
+            cols = [on[took], begin[took], end[last] - begin[took], one, piece.view(np.int64), two, hash_values(b.column(1)).view(np.int64)[of]]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), *(pa.array(x.astype(np.int64)) for x in cols)], names=SPANS)
 
     return run
 
@@ -115,12 +188,19 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated(docs: DataFrame, least: int = 10, tile: int = TILE) -> DataFrame:
-    """doc_id, line, start, length, component_id, occurrences, keep of every paragraph of ``docs`` (``doc_id``, ``text``) that repeats.
+    """doc_id, line, start, length, component_id, occurrences, keep of every paragraph or piece of ``docs`` (``doc_id``, ``text``) that repeats.
 
-    start and length are code points of the text; component_id is the smallest document that holds one of the component's paragraphs.
+    start and length are code points of the text, line is that of the first word; component_id is the smallest document that holds one
+    of the component's paragraphs, or in which the piece is taken; of a piece, occurrences counts the places where it is taken.
     """
+    return _repeated(docs, least, tile).drop("text_hash")
+
+
+def _repeated(docs: DataFrame, least: int = 10, tile: int = TILE) -> DataFrame:
+    """``repeated`` with the hash of a piece's text, null for paragraphs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = materialize(docs.mapInArrow(_spans(least), "doc_id long, line long, start long, length long, sid long"), "spans")
+    said = materialize(docs.mapInArrow(_spans(least), ", ".join(f"{c} long" for c in SPANS)), "spans")
+    spans = said.where("piece is null").select(*SPANS[:5])
     keys = docs.select("text").mapInArrow(_keys(least), "key long, cg long, sid long")
     live = materialize(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_live, "block long, cg long, sid long"), "live")
     where = F.struct("doc_id", "line", "start", "length")
@@ -132,16 +212,53 @@ def repeated(docs: DataFrame, least: int = 10, tile: int = TILE) -> DataFrame:
     labelled = counts.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     many = labelled.groupBy("component").agg(F.sum("n").alias("occurrences"), F.min("at").alias("first")).where("occurrences > 1")
     classes = materialize(labelled.join(many, "component").select("sid", "occurrences", "first"), "classes")
-    out = spans.join(classes, "sid")
+    lines = spans.join(classes, "sid").withColumn("text_hash", F.lit(None).cast("long"))
+    out = lines.unionByName(_repeated_pieces(said.where("piece is not null"), classes.select("sid"), where))
     return out.select(
-        "doc_id", "line", "start", "length", F.col("first.doc_id").alias("component_id"), "occurrences", where.eqNullSafe(F.col("first")).alias("keep")
+        "doc_id", "line", "start", "length", F.col("first.doc_id").alias("component_id"), "occurrences", where.eqNullSafe(F.col("first")).alias("keep"), "text_hash"
     )
 
 
+def _repeated_pieces(said: DataFrame, paragraphs: DataFrame, where: Column) -> DataFrame:
+    """Rows of the pieces that occur twice and somewhere outside the repeated ``paragraphs`` (``sid``), with occurrences and first."""
+    shared = said.groupBy("piece").agg(F.count("*").alias("occurrences"), F.min(where).alias("first")).where("occurrences > 1")
+    shared = materialize(said.join(shared, "piece"), "shared")
+    stands = shared.select("piece", "sid", "last").distinct()
+    inside = stands.where("sid <> 0 and last <> 0")
+    for end in ("sid", "last"):
+        inside = inside.join(paragraphs.select(F.col("sid").alias(end), F.lit(True).alias(f"in_{end}")), end, "left")
+    outside = stands.where("sid = 0 or last = 0").select("piece").unionByName(inside.where("in_sid is null or in_last is null").select("piece")).distinct()
+    return shared.join(outside, "piece").drop("piece", "last")
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without their dropped lines and pieces."""
+    for b in batches:
+        at = {c: i for i, c in enumerate(b.schema.names)}
+        texts = b.column(at["text"]).to_pylist()
+        for i, (drop, cuts) in enumerate(zip(b.column(at["_lines"]).to_pylist(), b.column(at["_pieces"]).to_pylist(), strict=True)):
+            if texts[i] is None or not (drop or cuts):
+                continue
+            own = xxhash.xxh3_64_intdigest(texts[i]) if cuts else 0
+            stays = np.ones(len(texts[i]), bool)
+            for c in cuts or ():
+                if c["text_hash"] & 0xFFFFFFFFFFFFFFFF == own:
+                    stays[c["start"] : c["start"] + c["length"]] = False
+            out, begin, drop = [], 0, set(drop or ())
+            for n, line in enumerate(texts[i].split("\n")):
+                if n not in drop:
+                    mask = stays[begin : begin + len(line)]
+                    out.append(line if mask.all() else "".join(c for c, ok in zip(line, mask, strict=True) if ok))
+                begin += len(line) + 1
+            texts[i] = "\n".join(out)
+        yield b.set_column(at["text"], b.schema.field(at["text"]), pa.array(texts, b.column(at["text"]).type)).select([c for c in at if c not in ("_lines", "_pieces")])
+
+
 def removed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` whose repeated paragraphs stay only where they occur first."""
-    drop = repeated(docs, **options).where("not keep").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_lines"))
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_lines"), i.cast("long"))), "\n")
+    """``docs`` whose repeated paragraphs and pieces stay only where they occur first."""
+    drop = _repeated(docs, **options).where("not keep").groupBy(F.col("doc_id").alias("_doc")).agg(
+        F.collect_set(F.when(F.col("text_hash").isNull(), F.col("line"))).alias("_lines"),
+        F.collect_set(F.when(F.col("text_hash").isNotNull(), F.struct("start", "length", "text_hash"))).alias("_pieces"),
+    )
     joined = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    return joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    return joined.select(*docs.columns, "_lines", "_pieces").mapInArrow(_left, docs.schema)

@@ -85,10 +85,12 @@ def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - starts[owner]
 
 
-def shingle_sets(texts: pa.Array, k: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and the sorted distinct hashes of each text's k-word shingles; fewer words count as one shingle; texts of less than ``least`` words have none."""
-    offsets, flat = split_words(texts)
-    w = hash_values(flat)
+def shingle_sets(texts: pa.Array, k: int, least: int = 1, split: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and the sorted distinct hashes of each text's k-word shingles; fewer words count as one shingle; texts of less than ``least`` words have none. ``split`` has the word offsets and hashes if they are known."""
+    if split is None:
+        offsets, flat = split_words(texts)
+        split = offsets, hash_values(flat)
+    offsets, w = split
     n = np.diff(offsets)
     padded = np.concatenate([w, np.zeros(k, U)])
     h = np.full(len(w), U(k))

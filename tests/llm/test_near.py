@@ -5,12 +5,14 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import passages
 from spanloom.llm.components import components
 from spanloom.llm.jaccard_join import classes_of, groups_of, shingle_components
 from spanloom.llm.rtree import CountTree, needed
+from spanloom.llm.words import hash_values, split_words
 from tests.llm.util import AWKWARD, docs, low, words
 
 
@@ -137,3 +139,44 @@ def test_passages(spark):
     assert all(texts[r.doc_id][r.start : r.start + r.length] == texts[r.doc_id].split("\n")[r.line] for r in got if r.doc_id < 900)
     left = passages.removed(df).where("doc_id < 900")
     assert left.columns == df.columns and sum(len(words(r.text)) for r in left.collect()) < sum(len(words(t)) for d, t in rows if d < 900)
+
+
+def test_passages_inside_lines(spark):
+    rng = random.Random(9)
+    say = lambda n: [f"v{rng.randint(0, 50_000)}é" for _ in range(n)]
+    rows, at = [], {}
+    for p in range(6):
+        shared = say(51)
+        for j in range(4):
+            w = say(rng.randint(20, 90)) + shared + say(rng.randint(20, 90))
+            first = w.index(shared[0])
+            # one line, lines of under ten words, and lines of any length
+            every = [10**9, 7, rng.randint(3, 60)][j % 3]
+            text = "".join(x + ("\n" if (k + 1) % every == 0 else "  " if k % 9 == 0 else " ") for k, x in enumerate(w))
+            at[10 * p + j] = (len(words(text[: text.index(shared[0])])), first, text)
+            rows.append((10 * p + j, text))
+    rows += [(500 + i, " ".join(say(150))) for i in range(20)]
+    df = docs(spark, rows + AWKWARD)
+    got = [r for r in passages.repeated(df).collect() if r.doc_id is not None and r.doc_id >= 0 and r.doc_id not in (5,)]
+    assert {r.doc_id for r in got} == set(at)
+    for r in got:
+        _, first, text = at[r.doc_id]
+        assert r.component_id // 10 == r.doc_id // 10 and r.keep == (r.doc_id == r.component_id)
+        piece, ahead = text[r.start : r.start + r.length], text[: r.start]
+        assert len(words(piece)) == passages.PIECE and first <= len(words(ahead)) and len(words(ahead + piece)) <= first + 51
+        assert r.line == ahead.count("\n")
+    assert {r.doc_id for r in got if r.occurrences == 4 and r.component_id % 10 == 0} == set(at)
+    left = {r.doc_id: r.text for r in passages.removed(df.where("doc_id >= 10 or doc_id = 0")).collect()}
+    texts = dict(rows)
+    assert all(left[d] == texts[d] if d % 10 == 0 or d >= 500 else len(words(left[d])) <= len(words(texts[d])) - passages.PIECE for d in left)
+
+
+def test_pieces_meet_in_every_run():
+    rng = random.Random(10)
+    for _ in range(300):
+        run = [f"r{rng.randint(0, 9)}" for _ in range(rng.randint(50, 120))]
+        texts = [" ".join([f"a{i}" for i in range(rng.randint(0, 60))] + run + [f"b{i}{s}" for i in range(rng.randint(0, 60))]) for s in "xy"]
+        offsets, flat = split_words(pa.array(texts))
+        took, h = passages.pieces(offsets, hash_values(flat))
+        mine = [set(h[(took >= a) & (took < z)].tolist()) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+        assert mine[0] & mine[1]
