@@ -136,6 +136,14 @@ def test_decontamination(spark):
     assert decontam.contaminated(df, bench.where("false")).count() == 0 and decontam.contaminated(df.where("false"), bench).count() == 0
 
 
+def test_decontamination_of_placeholders(spark):
+    sums, table = "What is 48 + 17 * 3 - 9 ?", "Rome 12 km Oslo 30 km Bern 7 km Kiev 9 km Riga 15 km"
+    bench = spark.createDataFrame([(1, sums), (2, table), (3, "plain words of a question that has no number in it")], "item_id long, text string")
+    rows = [(20, f"some words first. {sums} and more"), (21, f"Here it says {table} and so on"), (22, "some words. What is 48 + 18 * 3 - 9 ?"), (23, "the Rome 1 km Oslo 2 km Bern 3 km Kiev 4 km Riga 5 km"), *AWKWARD]
+    found = {(r.doc_id, r.item_id, r.n_matched, r.n_windows) for r in decontam.contaminated(docs(spark, rows), bench).collect()}
+    assert found == {(20, 1, 1, 1), (21, 2, 8, 8)}
+
+
 def test_classifier(spark):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["calm", "field", "house", "bread", "music"]) + str(rng.randint(0, 30)) for _ in range(60))
