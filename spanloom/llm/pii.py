@@ -49,7 +49,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_])([A-Za-z_]{2,24})\x20?[=:]\x20?(\"?)([A-Za-z0-9+/_.-]{8,200})(?![A-Za-z0-9+/_.-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])([A-Za-z_]{2,24})\x20?[=:]\x20?(\"?)([A-Za-z0-9+/_.-]{8,}+)")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._-])([A-Za-z0-9._-]{2,64})\x20?[\[(]at[\])]\x20?([A-Za-z0-9-]{2,64}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z]{2,12}){1,3})")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9A-Za-z:])")
@@ -113,7 +113,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     out, last = [], -1
     taken = sorted((a, z) for _, a, z in base)
     for kind, a, z, value, strict, name in sorted(found, key=lambda x: (x[1], -x[2])):
-        if a < last or any(a < y and x < z for x, y in taken):
+        # a secret may hold digits that look like a card or an address; other overlaps are the base's
+        if a < last or any(a < y and x < z and not (kind == 4 and a <= x and y <= z and z - a > 2 * (y - x)) for x, y in taken):
             continue
         last = z
         near = (text[max(0, a - 40) : a] + " " + text[z : z + 20]).lower()

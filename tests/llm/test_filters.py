@@ -112,6 +112,17 @@ def test_pii(spark):
     assert pii.redact(df, w).columns == df.columns and pii.find(df.where("false")).count() == 0
 
 
+def test_pii_long_secrets(spark):
+    value = lambda i, n: "".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest() for k in range(n // 64 + 1))[:n]
+    sizes = [40, 200, 201, 900, 5000]
+    rows = [(i, f"text before token = {value(i, sizes[i % 5])} and after") for i in range(10, 70)] + [(100 + i, f"plain words {i} and key = some-long-plain-name here") for i in range(60)]
+    df = docs(spark, rows)
+    w = pii.learn(df)
+    spans = {r.doc_id: r.spans for r in pii.find(df, w).collect()}
+    assert all(spans[i].endswith(f"secret:20:{20 + sizes[i % 5]}") for i in range(10, 70)) and not any(spans[100 + i] for i in range(60))
+    assert {r.text for r in pii.redact(df.where("doc_id < 100"), w).collect()} == {"text before token = [SECRET] and after"}
+
+
 def test_licences(spark):
     mit = "MIT LICENSE\n\nCopyright (c) 2020 Someone\n\n" + licences.MIT.replace("sublicense", "sub-license").replace('"Software"', "“Software”").upper()
     rows = [(10, mit), (11, mit + " x"), (12, "text\nreleased under the MIT licence.\nmore"), *AWKWARD]
