@@ -1,15 +1,20 @@
 """Licence scan by canonical digests: whole texts, and notice lines, are looked up among the digests of known licences.
 
-A text is canonical when A-Z are lower-cased, copyright lines are gone, equivalent spellings are one, and punctuation and white
+A text is canonical when A-Z are lower-cased, lines that name a copyright's holder or year are gone, equivalent spellings are one, and punctuation and white
 space are single blanks; its SHA-256 is hash-joined with the known digests. The known table is small and checked: beyond
 ``MOST`` rows it is joined without a broadcast. Lines that speak of a licence are looked up in the same way among notices.
 
+The known texts are those of ``TEXTS`` and of the files in ``licence_texts``, whole and up to the end of their terms, with and
+without usual titles. It is no full licence list: texts of other licences have no license_id.
+
 Edge cases: null text counts as empty; an empty canonical text matches nothing; a null id is kept; repeated rows each return; an
 empty table returns no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +26,19 @@ EQUIVALENT = [
     ("licence", "license"), ("sub license", "sublicense"), ("organisation", "organization"), ("favour", "favor"), ("authorisation", "authorization"),
     ("copyright owner", "copyright holder"), ("non commercial", "noncommercial"), ("whilst", "while"), ("wilful", "willful"), ("acknowledgement", "acknowledgment"),
 ]
+#: Lines that the SQL twin drops; it also drops lines of a licence that happen to begin so, which ``HELD`` keeps.
 COPYRIGHT = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*"
+#: Words after "copyright" in the prose of licences; any other word is a holder.
+PROSE = (
+    "act acts all and any are as at be claim claims disclaimer doctrines for from has holder holders if in infringement information interest interests is law laws"
+    " licence license licenses may not notice notices of on or other owner owners ownership permission permissions protection resulting rights shall statement"
+    " statements that the this to treaty under which will with work works"
+).split()
+_YEAR = r"(?:19|20)[0-9]{2}"
+HELD = (
+    rf"(^|\n)[ \t*#/;-]*(?:copyright[ \t:]*(?:\(c\)|©|{_YEAR}|<|\[yyyy\])|copyright[ \t:]+(?!(?:{'|'.join(PROSE)})\b)[^\x00-`{{-\x7f]"
+    rf"|copyright[ \t:]+the[ \t][^\n]*\b(?:authors|contributors|developers|foundation|project|team)\b|\(c\)[ \t]*(?:copyright|{_YEAR})|©)[^\n]*"
+)
 DROPPED = "[\\x00-/:-@\\[-`{-\\x7f“”‘’–—©]+"
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -48,15 +65,33 @@ NOTICES = [
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), COPYRIGHT, "\n")
+    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), HELD, "\n")
     out = F.concat(F.lit(" "), F.regexp_replace(out, DROPPED, " "), F.lit(" "))
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(f" {a}"), F.lit(f" {b}"))
     return F.trim(out)
 
 
-def known_table(spark, rows: list[tuple[str, str]] = TEXTS, column: str = "license_id") -> DataFrame:
+#: Titles above the texts of files, whose own texts begin without one.
+TITLES = {"BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"]}
+TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def filed() -> list[tuple[str, str]]:
+    """Licence and text of the files in ``licence_texts``; the licence is the file's name."""
+    out = []
+    for f in sorted(resources.files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        name, text = f.name.removesuffix(".txt").removesuffix(".regents"), f.read_text("utf-8")
+        texts = [text, text[: text.index(TERMS)], text[: text.index(TERMS)] + TERMS] if TERMS in text else [text]
+        if name in TITLES:
+            texts += [x + "All rights reserved.\n" + text for x in ("", *(t + "\n" for t in TITLES[name]))] + [f"{t}\n{text}" for t in TITLES[name]]
+        out += [(name, x) for x in texts]
+    return out
+
+
+def known_table(spark, rows: list[tuple[str, str]] | None = None, column: str = "license_id") -> DataFrame:
     """digest and licence of known texts."""
+    rows = [*TEXTS, *filed()] if rows is None else rows
     df = spark.createDataFrame(list(rows), f"{column} string, text string")
     return df.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), column).dropDuplicates(["digest"])
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -131,6 +132,22 @@ def test_licences(spark):
     assert all(out[d].license_id is None for d in (1, 2, 3, 5))
 
 
+def test_licences_wrapped(spark):
+    """Every known text, wrapped at any width, under any copyright line."""
+    held = ["Copyright (c) 2020 Someone", "Copyright 2019-2021 A. Body", "(c) 2021 Some Body", "© Anyone", "Copyright Some Body Inc.", "# Copyright The Thing Authors", ""]
+    rows, want = [], []
+    for name, text in [("MIT", licences.MIT), ("ISC", licences.ISC), *((n, t) for n, t in licences.filed() if len(t) < 12_000)]:
+        paragraphs = re.split(r"\n\s*\n", text)
+        for width in (0, *range(20, 101, 4)):
+            wrap = lambda p: p if width == 0 or re.search(r"(?i)copyright (\(c\)|\[)", p) else textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False)  # noqa: B023, E731
+            rows.append((1000 + len(rows), held[len(rows) % len(held)] + "\n\n" + "\n\n".join(map(wrap, paragraphs))))
+            want.append(name)
+    got = {r.doc_id: r.license_id for r in licences.scan(docs(spark, rows)).collect()}
+    wrong = [(w, t) for (d, t), w in zip(rows, want, strict=True) if got[d] != w]
+    assert not wrong, (len(wrong), wrong[0])
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "MPL-2.0", "Unlicense"} <= {n for n, _ in licences.filed()}
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     say = lambda n: " ".join(rng.choice(["tree", "river", "stone", "walks", "under", "quickly", "seven", "bird", "above", "green", "light", "old"]) for _ in range(n))
