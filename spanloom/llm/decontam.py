@@ -3,7 +3,7 @@
 Numbers, names and units of a text become typed placeholders, other words lose case and punctuation. Windows of template words
 are hash-joined with the benchmark's, which are taken in blocks of a checked size so that each block's broadcast is bounded.
 Along each alignment of a document with an item the placeholders' values must map consistently (one value of the item to one
-value of the document), which catches re-parameterised questions and drops chance matches of frames. Windows of mostly
+value of the document; windows that hold a value with several do not count), which catches re-parameterised questions and drops chance matches of frames. Windows of mostly
 placeholders say too little as templates; they are joined by all their words instead, values included.
 
 Edge cases: null and empty texts match nothing; items shorter than the window use one window of their own length; windows of
@@ -144,8 +144,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     pairs = hits.where(~F.col("exact") & (F.length("values") > F.size(F.split("item_values", "\x02")) - 1)).select(
         *key, F.explode(F.arrays_zip(F.split("item_values", "\x02").alias("a"), F.split("values", "\x02").alias("b"))).alias("p")
     )
-    clash = pairs.where("p.a <> ''").groupBy(*key, "p.a").agg(F.min("p.b").alias("lo"), F.max("p.b").alias("hi")).where("lo <> hi").select(*key).distinct()
-    same = [*(hits[c].eqNullSafe(clash[c]) for c in key), ~hits["exact"]]
+    clash = pairs.where("p.a <> ''").groupBy(*key, "p.a").agg(F.min("p.b").alias("lo"), F.max("p.b").alias("hi")).where("lo <> hi").select(*key, "a").distinct()
+    same = [*(hits[c].eqNullSafe(clash[c]) for c in key), ~hits["exact"], F.array_contains(F.split(hits["item_values"], "\x02"), clash["a"])]
     good = hits.join(clash, same, "left_anti")
     plain = F.countDistinct(F.when(~F.col("exact"), F.col("item_pos")))
     found = good.groupBy("doc_id", "item_id").agg(

@@ -164,6 +164,17 @@ def test_decontamination(spark):
     assert decontam.contaminated(df, bench.where("false")).count() == 0 and decontam.contaminated(df.where("false"), bench).count() == 0
 
 
+def test_decontamination_with_one_conflict(spark):
+    plain = "the old bridge over the quiet river was built by workers who came from the villages around it and stayed until the last stone was laid"
+    item = f"about 120 tons {plain} with 120 tons of iron"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(20, "before it " + item.replace("120", "77", 1) + " after it"), (21, "before it " + item.replace("120", "77") + " after it")]
+    found = {r.doc_id: (r.n_matched, r.n_windows) for r in decontam.contaminated(docs(spark, rows), bench).collect()}
+    n = len(words(item)) - decontam.WINDOW + 1
+    held = sum("120" in words(item)[i : i + decontam.WINDOW] for i in range(n))
+    assert found == {20: (n - held, n), 21: (n, n)}
+
+
 def test_decontamination_of_placeholders(spark):
     sums, table = "What is 48 + 17 * 3 - 9 ?", "Rome 12 km Oslo 30 km Bern 7 km Kiev 9 km Riga 15 km"
     bench = spark.createDataFrame([(1, sums), (2, table), (3, "plain words of a question that has no number in it")], "item_id long, text string")
