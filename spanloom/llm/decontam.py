@@ -19,26 +19,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import let
+from .sieve import bitmap, literal, may_hold
 from .storage import materialize
 
 # Fixed values.
 PUNCTUATION = ".,;:!?\"'()[]{}<>#*$%&|`~^_=+/\\-"
 UNITS = ["km", "m", "cm", "mm", "kg", "g", "mg", "lb", "l", "ml", "h", "hours", "min", "minutes", "s", "seconds", "days", "years", "usd", "eur", "dollars", "euros", "percent", "miles", "feet"]
+#: Characters that mark placeholders and part values inside; they leave a text's words.
+CONTROLS = "\x01\x02\x03"
 WINDOW = 8
 #: Windows of the benchmark in one broadcast (about 50 bytes each).
 BLOCK = 1_000_000
-#: Bits of the map that spares most windows the join; it only saves work, so its size is fixed.
-BITS = 1 << 18
 
 
 def _canonical(word: Column, before: Column, first: Column) -> Column:
     """Struct of the template word t and the slot's value v ('' for ordinary words)."""
-    core = F.translate(word, PUNCTUATION, "")
+    core = F.translate(word, PUNCTUATION + CONTROLS, "")
 
     def typed(c: Column) -> Column:
         low, head = F.lower(c), F.substring(c, 1, 1)
         number = (head >= "0") & (head <= "9")
-        prev = F.translate(before, PUNCTUATION, "")
+        prev = F.translate(before, PUNCTUATION + CONTROLS, "")
         unit = low.isin(UNITS) & (F.substring(prev, 1, 1) >= "0") & (F.substring(prev, 1, 1) <= "9")
         second = F.substring(c, 2, 1)
         name = (head != F.lower(head)) & (second == F.lower(second)) & ~first & ~F.substring(before, -1, 1).isin(".", "!", "?", ":", "\"")
@@ -56,7 +57,7 @@ def windows(df: DataFrame, sizes: list[int], keep: list[str], bits: list[int] |
     """
     raw = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
     typed = let(raw, lambda ws: F.filter(F.transform(ws, lambda w, i: _canonical(w, F.when(i > 0, F.get(ws, i - 1)).otherwise(F.lit("")), i == 0)), lambda x: x["t"] != ""))
-    wanted = None if bits is None else F.lit(bits).cast("array<bigint>")
+    wanted = None if bits is None else literal(bits)
 
     def cut(xs: Column) -> Column:
         hashes = F.transform(xs, lambda x: F.xxhash64(x["t"]))
@@ -70,7 +71,7 @@ def windows(df: DataFrame, sizes: list[int], keep: list[str], bits: list[int] |
                 at = F.when(n >= s, F.sequence(F.lit(1), n - s + 1)).otherwise(F.array().cast("array<int>"))
                 hash_at = lambda i: F.xxhash64(F.slice(z["e" if exactly else "h"], i, s))
                 if wanted is not None:
-                    at = F.filter(at, lambda i: let(hash_at(i), lambda h: F.getbit(F.get(wanted, _word(h)), _bit(h)) == 1))
+                    at = F.filter(at, lambda i: let(hash_at(i), lambda h: may_hold(wanted, h)))
                 return F.transform(
                     at,
                     lambda i: F.struct(
@@ -95,24 +96,6 @@ def _ordinary() -> Column:
     return F.when(all_of_them, F.lit(True)).otherwise(half)
 
 
-def _word(h: Column) -> Column:
-    """Index of the bitmap's word of a hash."""
-    return F.shiftright(h, 6).bitwiseAND(BITS // 64 - 1).cast("int")
-
-
-def _bit(h: Column) -> Column:
-    return h.bitwiseAND(63).cast("int")
-
-
-def bitmap(bench: DataFrame) -> list[int]:
-    """Bits of the benchmark's hashes; at most ``BITS`` / 64 rows come to the driver."""
-    rows = bench.groupBy(_word(F.col("hash")).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("hash")))).alias("b")).collect()
-    out = [0] * (BITS // 64)
-    for r in rows:
-        out[r.w] = r.b
-    return out
-
-
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, size, item_pos, n_windows, n_plain, exact, hash, item_values of the benchmark's windows.
 
@@ -133,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
         sizes = [window]
     parts = -(-max(n, 1) // BLOCK)
     exact = bool(bench.where("exact").head(1))
-    said = windows(docs.select("doc_id", "text"), sizes, ["doc_id"], bitmap(bench), exact)
+    said = windows(docs.select("doc_id", "text"), sizes, ["doc_id"], bitmap(bench.select("hash")), exact)
     hits = reduce(
         DataFrame.unionByName,
         (said.join(F.broadcast(bench.where(F.pmod("block", F.lit(parts)) == p).drop("block")), ["hash", "size", "exact"]) for p in range(parts)),

@@ -8,7 +8,7 @@ group. Inside a block an R-tree over the count vectors finds the pairs whose sum
 overlap; unequal groups of equal count tighten the bound; survivors are verified on the shingle sets.
 
 Nothing expands all pairs of a group: texts of one set are one point; blocks with the same members are one block; a pair is
-handled only in its first common block; a first round verifies each point's best survivor, and a second round all survivors
+handled only in its first and last common blocks; a first round verifies each point's best survivor, and a second round all survivors
 between the components found so far. Blocks beyond ``tile`` members are cut into pairs of tiles.
 
 Edge cases: null, empty and wordless texts have an empty set and stay alone; fewer than k words are one shingle; a null id is
@@ -23,13 +23,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .rtree import CountTree, needed
-from .sieve import sieve, sifted
-from .storage import materialize
+from .sieve import places, sieve
+from .storage import Scratch, materialize
 from .words import U, mix, release, segments, shingle_sets, slices
 
 #: Ratio of the size classes' bounds.
@@ -97,7 +97,8 @@ def _members(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             offsets, h = shingle_sets(b.column(1), k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(set_ids(offsets, h))], names=["doc_id", "n", "sid"])
+            cols = [b.column(0), pa.array(np.diff(offsets)), pa.array(set_ids(offsets, h)), b.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "sid", "text_hash"])
 
     return run
 
@@ -199,13 +200,23 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(cg), pa.array(sid)], names=["block", "cg", "sid"])
 
 
-def _sets(k: int) -> Callable:
+def _sets(k: int, words: np.ndarray, least: int = 1) -> Callable:
+    """Sets of the texts whose hash may be wanted (``words``: a sieve); copies of a text count once in a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in slices(batches):
-            offsets, h = shingle_sets(b.column(0), k)
-            own = set_ids(offsets, h) == b.column(1).to_numpy()
-            rows = [(s, h[a:z].tobytes()) for s, a, z, ok in zip(b.column(1).to_pylist(), offsets[:-1], offsets[1:], own, strict=True) if ok]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["sid", "hashes"])
+            at, bit = places(b.column(1))
+            new = []
+            for i, h in zip(np.flatnonzero(words[at] & bit).tolist(), b.column(1).filter(pa.array((words[at] & bit) != 0)).to_pylist(), strict=True):
+                if h not in seen:
+                    seen.add(h)
+                    new.append(i)
+            for part in (new[i : i + 512] for i in range(0, len(new), 512)):
+                offsets, h = shingle_sets(b.column(0).take(pa.array(part)), k, least)
+                ids = set_ids(offsets, h)
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer((offsets * 8).astype(np.int64)), pa.py_buffer(h)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), raw.cast(pa.binary())], names=["sid", "hashes"])
 
     return run
 
@@ -215,6 +226,8 @@ def _sketches(num: int, den: int) -> Callable:
         for b in batches:
             for sid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = np.frombuffer(raw, U)
+                if not len(h):
+                    continue
                 rows = []
                 for cls in classes_of(len(h), num, den):
                     counts, content = sketch(h, cls, num, den)
@@ -229,14 +242,15 @@ def _search(num: int, den: int, best: bool) -> Callable:
     """Survivors of each block's R-tree: for ``best`` one partner per set, else all between different components."""
 
     def block_pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        at = {c: t.column(c).to_numpy() for c in ("cg", "sid", "n", "comp", "tile", "mine")}
+        at = {c: t.column(c).to_numpy() for c in ("cg", "last", "sid", "n", "comp", "tile", "mine")}
         if at["comp"].min() == at["comp"].max():
             return
         contents = np.frombuffer(b"".join(t.column("contents").to_pylist()), np.uint32).reshape(len(t), -1)
         counts = unpacked(t.column("counts").to_pylist(), contents.shape[1])
         own = t.column("marks").to_pylist()
         marks = np.frombuffer(b"".join(own), np.int64).reshape(len(t), -1) if own[0] is not None else None
-        groups, here, two = counts.shape[1], int(at["cg"].min() & 0xFFFFFFFF), at["mine"][0] >> 20 != at["mine"][0] & 0xFFFFF
+        groups, two = counts.shape[1], at["mine"][0] >> 20 != at["mine"][0] & 0xFFFFF
+        first, last = int(at["cg"][0] & 0xFFFFFFFF), int(at["last"][0] & 0xFFFFFFFF)  # the block's marks, the same for all members
         for i, j, bound in CountTree(counts, at["n"]).pairs(num, den):
             ok = at["comp"][i] != at["comp"][j]
             if two:
@@ -251,10 +265,10 @@ def _search(num: int, den: int, best: bool) -> Callable:
                 if marks is not None:
                     both = marks[a] == marks[b]
                 else:
-                    both = np.concatenate([equal, ~filled & (counts[b] == 0)], axis=1) if here >= groups else equal
+                    both = np.concatenate([equal, ~filled & (counts[b] == 0)], axis=1) if last >= groups else equal
                 ok = bd >= needed(at["n"][a] + at["n"][b], num, den)
-                if not best:  # in the pair's first common block only
-                    ok &= both.argmax(1) == here
+                if not best:  # in the pair's first and last common blocks only; a chance equality of contents hides one at most
+                    ok &= (both.argmax(1) == first) | (both.shape[1] - 1 - both[:, ::-1].argmax(1) == last)
                 if ok.any():
                     yield a[ok], b[ok], bd[ok]
 
@@ -301,61 +315,87 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a long, b long")
 
 
-def link_sets(live: DataFrame, sets: DataFrame, num: int, den: int, tile: int = TILE, sketches: Callable | None = None) -> DataFrame:
+def link_sets(s: Scratch, blocks: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int, tile: int = TILE, sketches: Callable | None = None) -> DataFrame:
     """a, b: verified links that span the components of all sets.
 
-    ``live`` has block, cg (class << 32 | mark) and sid, ``sets`` sid and hashes. ``sketches`` gives each set's points; marks say in
-    which of its blocks a pair meets first, and are the groups' contents where null.
+    ``blocks`` has block, sid, cg and last (class << 32 | its first and last mark); ``fetch`` gives sid and hashes of a table of sids; it may repeat them and give others.
+    ``sketches`` gives each set's points; marks say in which of its blocks a pair meets first and last, and are the groups'
+    contents where null.
     """
-    blocks = live.groupBy("block", "sid").agg(F.min("cg").alias("cg"))
-    hot = blocks.groupBy("block").count().where(F.col("count") > tile).select("block", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    tiled = blocks.join(hot, "block", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("long"))
-    mine = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda k: F.least(k, F.col("tile")) * (1 << 20) + F.greatest(k, F.col("tile")))
-    tiled = tiled.select("block", F.explode(mine).alias("mine"), "cg", F.shiftright("cg", 32).alias("cls"), "sid", "tile")
-    points = materialize(sets.mapInArrow(sketches or _sketches(num, den), "sid long, cls long, n long, counts binary, contents binary, marks binary"), "points")
-    dealt = materialize(tiled, "blocks")
+    wanted = blocks.select("sid").distinct()
+    made = fetch(wanted).mapInArrow(sketches or _sketches(num, den), "sid long, cls long, n long, counts binary, contents binary, marks binary")
+    points = s.table(made.join(wanted, "sid", "left_semi").dropDuplicates(["sid", "cls"]), "points")
+    dealt = blocks.select("block", "cg", "last", F.shiftright("cg", 32).alias("cls"), "sid")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        return s.table(fetch(ends).join(ends, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
 
     def search(labels: DataFrame | None) -> DataFrame:
         if labels is None:
-            # the first round looks into each set's FIRST blocks by hash: likely the same for like sets; the second is complete
-            order = Window.partitionBy("sid").orderBy(F.xxhash64("block"), "block", "mine")
+            # the first round looks into each set's FIRST blocks by hash, in one tile each: likely the same for like sets; the second is complete
+            order = Window.partitionBy("sid").orderBy(F.xxhash64("block"), "block")
             rows = dealt.withColumn("k", F.row_number().over(order)).where(F.col("k") <= FIRST).drop("k").withColumn("comp", F.col("sid"))
+            hot = rows.groupBy("block").agg(F.ceil(F.count("*") / tile).alias("tiles")).where("tiles > 1")
+            rows = rows.join(hot, "block", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
         else:
             named = labels.select(F.col("node").alias("sid"), "component")
             rows = dealt.join(named, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
             # a block of one component is done
-            open_ = rows.groupBy("block", "mine").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("block", "mine")
-            rows = rows.join(open_, ["block", "mine"])
-        rows = rows.join(points, ["sid", "cls"])
+            open_ = rows.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / tile).alias("tiles")).where("x <> y")
+            rows = rows.join(open_.select("block", "tiles"), "block")
+        rows = rows.withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")))
+        mine = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda k: F.least(k, F.col("tile")) * (1 << 20) + F.greatest(k, F.col("tile")))
+        rows = rows.withColumn("mine", F.col("tile") * (1 << 20) + F.col("tile") if labels is None else F.explode(mine)).drop("tiles")
         cell = F.xxhash64("block", "mine").alias("cell")
-        rows = rows.select(cell, "block", "mine", "cg", "sid", "n", "tile", "comp", "counts", "contents", "marks")
+        rows = rows.join(points, ["sid", "cls"]).select(cell, "block", "mine", "cg", "last", "sid", "n", "tile", "comp", "counts", "contents", "marks")
         found = rows.repartition("cell").sortWithinPartitions("cell", "block", "mine", "sid").mapInArrow(_search(num, den, labels is None), "a long, b long, like double")
-        return found.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b")) if labels is None else found
+        if labels is None:
+            return s.table(found.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b")), "pairs")
+        return s.table(found.select("a", "b").distinct(), "pairs")
+
+    pairs = search(None)
+    sets = sets_of(pairs)
+    first = s.table(verified(pairs, sets, num, den), "links")
+    s.drop(pairs, sets)
+    pairs = search(components(first, s))
+    s.drop(points)
+    sets = sets_of(pairs)
+    second = s.table(verified(pairs, sets, num, den), "links")
+    s.drop(pairs, sets)
+    return first.union(second)
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
 
-    first = materialize(verified(search(None), sets, num, den), "links")
-    second = verified(search(components(first)), sets, num, den)
-    return materialize(first.union(second), "links")
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (long), text and text_hash: what tells rows apart even if they share an id or have none."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
 
 
 def shingle_components(docs: DataFrame, k: int, num: int, den: int, tile: int = TILE) -> DataFrame:
-    """doc_id, n (set size), sid and component_id (smallest doc_id reachable by links) of ``docs`` (``doc_id``, ``text``).
+    """doc_id, n (set size), sid, text_hash (``keyed``) and component_id (smallest doc_id reachable by links) of ``docs`` (``doc_id``, ``text``).
 
     Two texts link when den * intersection >= num * union of their k-word shingle sets.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = materialize(docs.mapInArrow(_members(k), "doc_id long, n long, sid long"), "members")
-    keys = docs.select("text").mapInArrow(_keys(k, num, den), "key long, cg long, sid long")
-    live = materialize(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_live, "block long, cg long, sid long"), "live")
-    wanted = live.select("sid").distinct()
-    reps = members.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid")
-    reps = materialize(reps.select(F.col("doc_id").alias("rep"), "sid"), "reps")
-    texts = sifted(docs, sieve(reps.select("rep"))).join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "sid")
-    sets = materialize(texts.mapInArrow(_sets(k), "sid long, hashes binary").dropDuplicates(["sid"]), "sets")
-    labels = components(link_sets(live, sets, num, den, tile))
-    named = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    # the smallest document of each set, then of each component: copies are counted before they meet
-    smallest = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    smallest = smallest.join(labels.withColumnRenamed("node", "sid"), "sid", "left").groupBy(F.coalesce("component", "sid").alias("component")).agg(F.min("doc_id").alias("first"))
-    out = named.join(smallest, "component", "left")
-    return out.select("doc_id", "n", "sid", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("first", "doc_id")).alias("component_id"))
+    docs = keyed(docs)
+    with Scratch(docs.sparkSession) as s:
+        members = s.table(docs.mapInArrow(_members(k), "doc_id long, n long, sid long, text_hash long"), "members")
+        keys = docs.select("text").mapInArrow(_keys(k, num, den), "key long, cg long, sid long")
+        live = keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_live, "block long, cg long, sid long")
+        blocks = s.table(live.groupBy("block", "sid").agg(F.min("cg").alias("cg"), F.max("cg").alias("last")), "blocks")
+
+        def fetch(wanted: DataFrame) -> DataFrame:
+            reps = s.table(members.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("text_hash").alias("text_hash")), "reps")
+            return docs.select("text", "text_hash").mapInArrow(_sets(k, sieve(reps.select("text_hash"))), "sid long, hashes binary")
+
+        labels = components(link_sets(s, blocks, fetch, num, den, tile), s).withColumnRenamed("node", "sid")
+        named = members.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        # the smallest document of each set, then of each component: copies are counted before they meet
+        smallest = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+        smallest = smallest.join(labels, "sid", "left").groupBy(F.coalesce("component", "sid").alias("component")).agg(F.min("doc_id").alias("first"))
+        out = named.join(smallest, "component", "left")
+        first = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("first", "doc_id"))
+        return materialize(out.select("doc_id", "n", "sid", "text_hash", first.alias("component_id"), "component"), "components")

@@ -67,22 +67,24 @@ def _repeats(words: Column) -> Column:
     return F.when(n < 3, F.lit(0)).otherwise(let(hashes, covered))
 
 
+#: Columns that ``measure`` makes.
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_text_lines"]
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_text_lines (long) beside its columns."""
+    """``docs`` with ``MEASURES`` (long) beside its columns; columns of those names are replaced.
+
+    The measures are generated rows of one struct, so that no later filter makes Spark compute them twice.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    words = let(F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), ""), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeats(w).cast("long").alias("r")))
-    lines = F.array_remove(F.split(F.regexp_replace(t, r"(?dm)^[\x20\x09\x0B-\x0D]+$", ""), "\n"), "")
     long_ = lambda c: c.cast("long")
-    return docs.withColumns(
-        {
-            "_w": words,
-            "_l": let(lines, lambda x: F.struct(long_(F.size(x)).alias("n"), long_(F.size(x) - F.size(F.array_distinct(x))).alias("d"))),
-            "word_chars": long_(F.length(F.translate(t, BLANKS, ""))),
-            "n_symbols": long_(F.length(t) - F.length(F.translate(t, SYMBOLS, ""))),
-        }
-    ).withColumns(
-        {"n_words": F.col("_w.n"), "n_repeat_words": F.col("_w.r"), "n_dup_lines": F.col("_l.d"), "n_text_lines": F.col("_l.n")}
-    ).drop("_w", "_l")
+    words = let(F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), ""), lambda w: F.struct(long_(F.size(w)).alias("n"), long_(_repeats(w)).alias("r")))
+    lines = F.array_remove(F.split(F.regexp_replace(t, r"(?dm)^[\x20\x09\x0B-\x0D]+$", ""), "\n"), "")
+    counted = let(lines, lambda x: F.struct(long_(F.size(x)).alias("n"), long_(F.size(x) - F.size(F.array_distinct(x))).alias("d")))
+    parts = F.array(F.struct(words.alias("w"), counted.alias("l"), long_(F.length(F.translate(t, BLANKS, ""))).alias("c"), long_(F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).alias("s")))
+    named = lambda x: F.struct(*(c.alias(m) for m, c in zip(MEASURES, (x["w.n"], x["c"], x["s"], x["l.d"], x["w.r"], x["l.n"]), strict=True)))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
+    return docs.select(*kept, F.inline(F.transform(parts, lambda x: named({"w.n": x["w"]["n"], "w.r": x["w"]["r"], "l.n": x["l"]["n"], "l.d": x["l"]["d"], "c": x["c"], "s": x["s"]}))))
 
 
 def base_failed() -> Column:
