@@ -5,7 +5,7 @@ room that still holds it; when none fits, the fullest is topped up with the piec
 partition's end (at most ``open_windows`` pieces lists, a proven bound) is merged in groups of ``MERGE`` partitions.
 
 Edge cases: null or empty text is one end id; a null id is kept; repeated rows are packed once per row; an empty table gives
-an empty result; texts of any length stream through in pieces; other columns of the input are ignored.
+an empty result; a text is tokenised as a whole and then cut; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize, with_private_text
-from .words import chunks, slices
+from .words import encoder, slices
 
 #: Partitions whose leftovers one task merges.
 MERGE = 64
@@ -98,7 +98,7 @@ def _pack_partitions(path: str, size: int, open_windows: int, end_id: int, keep:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        packer, encode = Packer(size, open_windows, part << 32), chunks(path, kept=200_000)
+        packer, encode = Packer(size, open_windows, part << 32), encoder(path)
         for b in slices(batches):
             offsets, ids = encode.ids(b.column(b.schema.get_field_index("text")))
             for i, doc_id in enumerate(b.column(b.schema.get_field_index("doc_id")).to_pylist()):

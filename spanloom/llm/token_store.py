@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import with_private_text
-from .words import chunks, slices
+from .words import encoder, slices
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 #: Parts whose first positions are broadcast.
@@ -30,7 +30,7 @@ def _encode(path: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode, done = TaskContext.get().partitionId(), chunks(path), 0
+        part, encode, done = TaskContext.get().partitionId(), encoder(path), 0
         for b in slices(batches, limit=8 << 20):
             offsets, ids = encode.ids(b.column(b.schema.get_field_index("text")))
             n = np.diff(offsets) + 1

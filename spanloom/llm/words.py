@@ -212,15 +212,56 @@ class Chunks:
         return ends[offsets], self.pool[start[code][owner] + pos]
 
 
-_CHUNKS: dict[str, Chunks] = {}
+#: The byte-level pre-tokenizer's fixed pattern.
+BYTE_PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def chunks(path: str, kept: int = Chunks.KEPT) -> Chunks:
-    """The worker's encoder for a vocabulary file, kept between tasks, with at most ``kept`` chunks (or those of a slice)."""
-    if path not in _CHUNKS:
+class ByteLevel:
+    """Exact ids of a plain byte-level vocabulary by tiktoken's merging, several times as fast as the tokenizers library and without a cache.
+
+    It holds where tokens are numbered in the order of their merges. Texts with an added token go to the library.
+    """
+
+    def __init__(self, tokenizer, said: dict):
+        import tiktoken
+
+        byte_of = {c: b for b, c in BYTE_LETTERS.items()}
+        added = [t["content"] for t in said["added_tokens"]]
+        ranks = {bytes(byte_of[c] for c in w): i for w, i in said["model"]["vocab"].items() if w not in added}
+        self.tokenizer, self.added = tokenizer, added
+        self.encode = tiktoken.Encoding("byte-level", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    @staticmethod
+    def fits(said: dict) -> bool:
+        pre, model = said["pre_tokenizer"] or {}, said["model"]
+        if said["normalizer"] or said["truncation"] or said["padding"] or pre.get("type") != "ByteLevel" or pre["add_prefix_space"] or not pre.get("use_regex", True):
+            return False
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return False
+        vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        return {c for w in vocab for c in w} <= set(BYTE_LETTERS.values()) and all(vocab.get("".join(m)) == 256 + i for i, m in enumerate(merges))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Id offsets per text and all ids as unsigned 32-bit values."""
+        got = [
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if any(x in t for x in self.added) else self.encode(t), np.uint32)
+            for t in texts.to_pylist()
+        ]
+        return np.concatenate([[0], np.cumsum([len(x) for x in got], dtype=np.int64)]), np.concatenate([np.zeros(0, np.uint32), *got])
+
+
+_ENCODERS: dict[str, Chunks | ByteLevel] = {}
+
+
+def encoder(path: str) -> Chunks | ByteLevel:
+    """The worker's encoder for a vocabulary file, kept between tasks."""
+    if path not in _ENCODERS:
         import os
 
+        from tokenizers import Tokenizer
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _CHUNKS[path] = Chunks(path)
-    _CHUNKS[path].KEPT = kept
-    return _CHUNKS[path]
+        tokenizer = Tokenizer.from_file(path)
+        said = json.loads(tokenizer.to_str())
+        _ENCODERS[path] = ByteLevel(tokenizer, said) if ByteLevel.fits(said) else Chunks(path)
+    return _ENCODERS[path]

@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from spanloom.llm import packing, token_store
-from spanloom.llm.words import Chunks, split_words
+from spanloom.llm.words import ByteLevel, Chunks, encoder, split_words
 from tests.llm.util import AWKWARD, docs, low, words
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -40,6 +40,19 @@ def test_chunks_are_exact(path):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == e.ids, part[i]
 
 
+def test_byte_level_is_exact():
+    tokenizer, fast = Tokenizer.from_file(BYTE), encoder(BYTE)
+    assert isinstance(fast, ByteLevel) and isinstance(encoder(WORD), Chunks)
+    rng = random.Random(7)
+    odd = [chr(c) for c in range(0x2500)] + [chr(c) for c in range(0x2500, 0x110000, 97) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"x{c}y {c}{c} 1{c} \n{c}  {c}.'s" for c in odd]
+    texts += ["".join(rng.choice(" \n\t'stéaAß中1.!<|>" + rng.choice(odd)) for _ in range(rng.randint(0, 200))) for _ in range(3000)]
+    texts += ["", "a" * 50_000, " " * 50_000, "a <|endoftext|> b", "<|endoftext|>", "a<|endoftext"]
+    offsets, ids = fast.ids(pa.array(texts))
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [ids[a:z].tolist() for a, z in zip(offsets[:-1], offsets[1:], strict=True)] == [e.ids for e in want]
+
+
 def test_words():
     rng = random.Random(2)
     texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 12))) for _ in range(3000)]
