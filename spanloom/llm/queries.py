@@ -42,7 +42,7 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated(table(spark, sf_dir, "documents"))
+    return passages.repeated(table(spark, sf_dir, "documents"), least=51)
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,14 @@ class Scratch:
         self.drop(*(x[0] for x in self.tables))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_private_text(df: DataFrame, wanted: list[str]) -> DataFrame:
     """Only the wanted columns; those that are missing are an error that names them."""
     if missing := [c for c in wanted if c not in df.columns]:

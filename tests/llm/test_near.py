@@ -107,6 +107,25 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    count = {}
+    chain = spark.range(5000).selectExpr("id as a", "id + 1 as b")
+    got = components(chain, counter=count).agg({"component": "max", "node": "count"}).head()
+    assert (got["max(component)"], got["count(node)"]) == (0, 5001)
+    assert count["rounds"] <= 2 and count["jumps"] <= 16
+
+
+def test_many_rows_without_an_id(spark):
+    rng = random.Random(5)
+    rows = [(None, " ".join(f"n{rng.randint(0, 10**6)}" for _ in range(12))) for _ in range(1000)]
+    rows += [(None, t + " tail") for _, t in rows[:500]]  # linked with the first half: 9 of 10 shingles
+    rows += [(7, t) for _, t in rows[1000:1500]] + [(8, "one of its own and no other has it")]
+    got = shingle_components(docs(spark, rows), 4, 85, 100)
+    out = [(r.doc_id, r.component_id) for r in got.collect()]
+    assert len(out) == len(rows)
+    assert Counter(out) == {(None, 7): 1000, (None, None): 500, (7, 7): 500, (8, 8): 1}
+
+
 def test_empty_table(spark):
     none = docs(spark, AWKWARD).where("false")
     assert shingle_components(none, 4, 85, 100).count() == 0
@@ -171,6 +190,38 @@ def test_passages_inside_lines(spark):
     assert all(left[d] == texts[d] if d % 10 == 0 or d >= 500 else len(words(left[d])) <= len(words(texts[d])) - passages.PIECE for d in left)
 
 
+def test_passages_against_all_runs(spark):
+    rng = random.Random(12)
+    say = lambda n: [f"p{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows, runs = [], [say(n) for n in (40, 49, 50, 51, 52, 70, 130)]
+    for i in range(60):
+        w = say(rng.randint(0, 60)) + runs[i % 7] + say(rng.randint(0, 60))
+        rows.append((i, "".join(x + rng.choice([" ", " ", " ", " ", "\n"]) for x in w)))
+    twice = say(80)
+    rows += [(100, " ".join(twice + say(5) + twice)), (101, rows[0][1]), (102, rows[3][1]), (103, " ".join(say(50))), (104, None)]
+    rows += [(105, rows[-2][1]), (200, " ".join(say(60))), (200, " ".join(say(70)))]
+    every = defaultdict(set)
+    for d, t in rows:
+        w = words(low(t or ""))
+        for i in range(len(w) - 50):
+            every[tuple(w[i : i + 51])].add(d)
+    want = {d for ds in every.values() if len(ds) > 1 for d in ds}
+    got = {r.doc_id for r in passages.repeated(docs(spark, rows), least=51).collect()}
+    assert got == want and {i for i in range(60) if i % 7 >= 3} <= want and not want & {100, 103, 105, 200}
+
+
+def test_removed_keeps_other_columns(spark):
+    rng = random.Random(13)
+    say = lambda n: " ".join(f"c{rng.randint(0, 10**6)}" for _ in range(n))
+    shared = say(60)
+    df = docs(spark, [(1, shared), (2, f"{say(9)}\n{shared}"), (None, shared), (3, say(20))])
+    df = df.selectExpr("*", "1 as doc", "2 as key", "3 as lines", "4 as cuts", "5 as _lines", "6 as _doc")
+    left = passages.removed(df)
+    assert left.columns == df.columns
+    texts = {r.doc_id: r.text for r in left.collect()}
+    assert texts[None] == shared and texts[1] == "" and len(words(texts[2])) == 9 and len(words(texts[3])) == 20
+
+
 def test_pieces_meet_in_every_run():
     rng = random.Random(10)
     for _ in range(300):
