@@ -1,17 +1,21 @@
 """Quality classifier by co-training a text view and a metadata view.
 
 The text view holds hashed words and bucketed shares of capitals, symbols, long words and repeats; the metadata view holds source,
-language and length. Both are logistic models fitted on a bounded sample: at most ``labelled`` labelled and ``unlabelled`` other
-documents, those with the smallest id hashes. In each round either model labels the unlabelled documents that it is surest of for
-the other; at the end a held-out fifth of the labels calibrates and combines the two logits, and every document is scored.
+language and length. Both are logistic models fitted on at most ``labelled`` labelled documents, those with the smallest id
+hashes. In each round either model scores all unlabelled documents, and those of which it is surer than ``sure`` are counted,
+feature by feature, as pseudo-labels for the other view; these counts (a table bounded by the number of hashed features) are
+the prior around which the other model is fitted again. At the end a held-out fifth of the labels calibrates and combines the
+two logits, and every document is scored. Features are made once and read in every round.
 
 Edge cases: null and empty texts have only the shares' features; null source and language are values of their own; a document with
-several labels is good only if all are; repeated rows are each scored; without labels of both kinds every document scores 0.5
-and stays; an empty table returns no rows; other columns are ignored.
+several labels is good only if all are; of rows that share a labelled id the one with the smallest text hash is the sample's;
+repeated rows are each scored; without labels of both kinds every document scores 0.5 and stays; an empty table returns no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,10 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jaccard_join import text_hash
+from .storage import materialize
 from .words import U, hash_values, mix, slices, split_words
 
 BITS = 18
-LABELLED, UNLABELLED = 8000, 4000
+LABELLED = 8000
+#: Probability beyond which a view's label is passed on, rounds, and the weight of the prior that pseudo-labels make.
+SURE, ROUNDS, PRIOR = 0.95, 2, 0.25
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>!=@^~_"])
 CAPITALS = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 
@@ -73,14 +81,17 @@ class Logistic:
         n = np.maximum(np.diff(offsets), 1)
         return self.b + (sums[offsets[1:]] - sums[offsets[:-1]]) / np.sqrt(n) * 4
 
-    def fit(self, offsets: np.ndarray, index: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150, decay: float = 1e-4) -> Logistic:
+    def fit(self, offsets: np.ndarray, index: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray | None = None, steps: int = 150, decay: float = 1e-4) -> Logistic:
+        """Fit from the start; weights decay towards ``prior``."""
+        prior = np.zeros(len(self.w), np.float32) if prior is None else prior
+        self.w, self.b = prior.copy(), 0.0
         n = np.maximum(np.diff(offsets), 1)
         owner = np.repeat(np.arange(len(n)), np.diff(offsets))
         scale = 4 / np.sqrt(n)
         seen, gb = np.full(len(self.w), 1e-8), 1e-8
         for _ in range(steps):
             err = weight * (1 / (1 + np.exp(-np.clip(self.logits(offsets, index), -30, 30))) - y) / weight.sum()
-            grad = np.bincount(index, (err * scale)[owner], len(self.w)) + decay * self.w / 100
+            grad = np.bincount(index, (err * scale)[owner], len(self.w)) + decay * (self.w - prior) / 100
             seen += grad * grad
             self.w -= (0.3 * grad / np.sqrt(seen)).astype(np.float32)
             gb += err.sum() ** 2
@@ -88,11 +99,11 @@ class Logistic:
         return self
 
 
-def _take(offsets: np.ndarray, index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = (offsets[1:] - offsets[:-1])[rows]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    own = np.repeat(np.arange(len(rows)), size)
-    return ends, index[offsets[rows][own] + np.arange(ends[-1]) - ends[:-1][own]]
+def prior_of(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Prior weights from the pseudo-labelled documents that hold each feature: shrunken log odds against the mean."""
+    base = math.log((good.sum() + 1) / (bad.sum() + 1))
+    odds = np.log((good + 1) / (bad + 1)) - base
+    return (PRIOR * np.clip(odds, -3, 3) * (good + bad) / (good + bad + 10)).astype(np.float32)
 
 
 class Model:
@@ -104,92 +115,125 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.mix[0] + self.mix[1] * a + self.mix[2] * b, -30, 30)))
 
 
-def train(views: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, held: np.ndarray, rounds: int = 3, share: float = 0.05) -> Model:
-    """Co-train on rows with y 1 or 0 (or -1: unlabelled); ``held`` rows only calibrate."""
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def train(views: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, held: np.ndarray, exchange: Callable[[Model], list[tuple[np.ndarray, np.ndarray]]], rounds: int = ROUNDS) -> Model:
+    """Co-train on labelled rows; ``held`` rows only calibrate.
+
+    ``exchange`` gives, for a model, the (good, bad) counts by feature of what the other view is sure of: for the text view, then for metadata.
+    """
     model = Model()
-    known = (y >= 0) & ~held
-    if not (y[known] == 1).any() or not (y[known] == 0).any():
+    own = ~held
+    if not (y[own] == 1).any() or not (y[own] == 0).any():
         return model
     models = [model.text, model.meta]
-    target = [y.astype(float), y.astype(float)]
-    usable = [known.copy(), known.copy()]
-
-    def refit(v: int) -> None:
-        rows = np.flatnonzero(usable[v])
-        good = target[v][rows]
-        # classes weigh alike, pseudo-labels half
-        weight = np.where(known[rows], 1.0, 0.5) * np.where(good > 0.5, 0.5 / max(good.mean(), 1e-9), 0.5 / max(1 - good.mean(), 1e-9))
-        models[v].fit(*_take(*views[v], rows), good, weight)
-
-    for v in (0, 1):
-        refit(v)
-    for _ in range(rounds):
-        for v in (0, 1):
-            other = 1 - v
-            free = np.flatnonzero((y < 0) & ~usable[other])
-            if not len(free):
-                continue
-            p = 1 / (1 + np.exp(-np.clip(models[v].logits(*_take(*views[v], free)), -30, 30)))
-            sure = np.argsort(-np.abs(p - 0.5), kind="stable")[: max(1, int(share * len(free)))]
-            sure = sure[np.abs(p[sure] - 0.5) > 0.45]
-            target[other][free[sure]] = p[sure] > 0.5
-            usable[other][free[sure]] = True
-        for v in (0, 1):
-            refit(v)
-    rows = np.flatnonzero(held & (y >= 0))
-    x = np.stack([np.ones(len(rows)), *(m.logits(*_take(*view, rows)) for m, view in zip(models, views, strict=True))], 1)
+    good = y[own].astype(float)
+    weight = np.where(good > 0.5, 0.5 / good.mean(), 0.5 / (1 - good.mean()))  # classes weigh alike
+
+    def part(view: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        offsets, index = view
+        size = np.diff(offsets)
+        return np.concatenate([[0], np.cumsum(size[rows])]), index[np.repeat(rows, size)]
+
+    mine = [part(v, own) for v in views]
+    priors: list[np.ndarray | None] = [None, None]
+    for r in range(rounds + 1):
+        for m, v, prior in zip(models, mine, priors, strict=True):
+            m.fit(*v, good, weight, prior)
+        if r < rounds:
+            priors = [prior_of(*counts) for counts in exchange(model)]
+    rest = [part(v, held) for v in views]
+    x = np.stack([np.ones(held.sum()), *(m.logits(*v) for m, v in zip(models, rest, strict=True))], 1)
     w = np.array([0.0, 1.0, 0.0])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = sigmoid(x @ w)
         hess = (x.T * (p * (1 - p))) @ x + 1e-2 * np.eye(3)
-        w = w - np.linalg.solve(hess, x.T @ (p - y[rows]) + 1e-2 * (w - [0, 1, 0]))
+        w = w - np.linalg.solve(hess, x.T @ (p - y[held]) + 1e-2 * (w - [0, 1, 0]))
     model.mix = w
     return model
 
 
-COLUMNS = ["doc_id", "text", "source", "lang", "n_chars"]
+COLUMNS = ["text", "source", "lang", "n_chars"]
+FEATURES = "doc_id long, text_hash long, words array<int>, meta array<int>"
+
+
+def _lists(offsets: np.ndarray, index: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(index.astype(np.int32)))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        c = {n: b.column(b.schema.get_field_index(n)) for n in [*COLUMNS[1:], "doc_id", "y"]}
-        offsets, index = text_view(c["text"])
+        c = {n: b.column(b.schema.get_field_index(n)) for n in ["doc_id", "text_hash", *COLUMNS]}
         meta = meta_view(c["source"].to_pylist(), c["lang"].to_pylist(), c["n_chars"].to_pylist())
-        yield pa.RecordBatch.from_arrays(
-            [c["doc_id"], c["y"], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(index.astype(np.int32))), pa.array(meta.astype(np.int32).tolist(), pa.list_(pa.int32()))],
-            names=["doc_id", "y", "words", "meta"],
-        )
-
-
-def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    """Fit on the bounded sample; ``labels`` has doc_id and good (boolean)."""
-    y = labels.groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("y"))
-    some = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rest = docs.select("doc_id").join(y, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled).select("doc_id", F.lit(-1).alias("y"))
-    # at most labelled + unlabelled rows of two numbers: a bounded broadcast, and a bounded gathering of their features
-    sample = docs.select(*COLUMNS).join(F.broadcast(some.union(rest)), "doc_id").mapInArrow(_features, "doc_id long, y int, words array<int>, meta array<int>")
-    rows = sorted(sample.dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
-    y = np.array([r.y for r in rows])
-    held = np.array([xxhash.xxh3_64_intdigest(str(r.doc_id)) % 5 == 0 for r in rows], bool)
-    ragged = lambda c: (np.cumsum([0, *(len(r[c]) for r in rows)]), np.array([x for r in rows for x in r[c]], np.int64))
-    return train([ragged("words"), ragged("meta")], y, held) if rows else Model()
+        cols = [c["doc_id"], c["text_hash"], _lists(*text_view(c["text"])), _lists(np.arange(len(meta) + 1) * 3, meta.ravel())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "words", "meta"])
+
+
+def _ragged(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0], lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
+
+
+def _logits(model: Model, b: pa.RecordBatch) -> list[np.ndarray]:
+    return [m.logits(*_ragged(b.column(b.schema.get_field_index(c)))) for m, c in ((model.text, "words"), (model.meta, "meta"))]
+
+
+def _sure(model: Model, sure: float) -> Callable:
+    """Per view and feature, the documents that the other view is sure are good or bad."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2, 1 << BITS))  # view, bad or good, feature
+        for b in batches:
+            logits = _logits(model, b)
+            for v, (c, p) in enumerate(zip(("words", "meta"), (sigmoid(logits[1]), sigmoid(logits[0])), strict=True)):
+                offsets, index = _ragged(b.column(b.schema.get_field_index(c)))
+                owner = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+                for g, mask in enumerate((p < 1 - sure, p > sure)):
+                    total[v, g] += np.bincount(index[mask[owner]], minlength=1 << BITS)
+        for v in (0, 1):
+            at = np.flatnonzero(total[v].any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v)), pa.array(at), pa.array(total[v, 1, at]), pa.array(total[v, 0, at])], names=["v", "feature", "good", "bad"])
+
+    return run
+
+
+def learn(features: DataFrame, labels: DataFrame, labelled: int = LABELLED, sure: float = SURE, rounds: int = ROUNDS) -> Model:
+    """Fit on ``features`` (``FEATURES``); ``labels`` has doc_id and good (boolean)."""
+    y = labels.groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("y")).where("y is not null")
+    some = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)  # a bounded broadcast, and a bounded gathering of their features
+    sample = features.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("y", "words", "meta"), "text_hash").alias("r"))
+    got = sample.select("doc_id", "r.*").toArrow().sort_by("doc_id")
+    if not got.num_rows:
+        return Model()
+    held = np.array([xxhash.xxh3_64_intdigest(str(i)) % 5 == 0 for i in got["doc_id"].to_pylist()], bool)
+    free = features.join(y.select("doc_id"), "doc_id", "left_anti").select("words", "meta")
+
+    def exchange(model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = np.zeros((2, 2, 1 << BITS))
+        sums = free.mapInArrow(_sure(model, sure), "v long, feature long, good double, bad double").groupBy("v", "feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        counts = sums.toArrow()  # at most two rows a feature
+        v, at = counts["v"].to_numpy(), counts["feature"].to_numpy()
+        out[v, 0, at], out[v, 1, at] = counts["good"].to_numpy(), counts["bad"].to_numpy()
+        return [(out[v, 0], out[v, 1]) for v in (0, 1)]
+
+    return train([_ragged(got[c].combine_chunks()) for c in ("words", "meta")], got["y"].to_numpy(), held, exchange, rounds)
 
 
 def _scores(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            c = {n: b.column(b.schema.get_field_index(n)) for n in COLUMNS}
-            offsets, index = text_view(c["text"])
-            meta = meta_view(c["source"].to_pylist(), c["lang"].to_pylist(), c["n_chars"].to_pylist())
-            a = model.text.logits(offsets, index)
-            m = model.meta.logits(np.arange(len(meta) + 1) * 3, meta.ravel())
-            yield pa.RecordBatch.from_arrays([c["doc_id"], pa.array(a), pa.array(m), pa.array(model.score(a, m))], names=["doc_id", "text_logit", "meta_logit", "score"])
+        for b in batches:
+            a, m = _logits(model, b)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a), pa.array(m), pa.array(model.score(a, m))], names=["doc_id", "text_logit", "meta_logit", "score"])
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, cut: float = 0.5, **sample) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, cut: float = 0.5, **options) -> DataFrame:
     """doc_id, text_logit, meta_logit, score (probability of good) and keep of every row of ``docs``."""
-    model = learn(docs, labels, **sample)
-    scored = docs.select(*COLUMNS).mapInArrow(_scores(model), "doc_id long, text_logit double, meta_logit double, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), *COLUMNS)
+    features = materialize(rows.mapInArrow(_features, FEATURES), "features")
+    model = learn(features, labels, **options)
+    scored = features.select("doc_id", "words", "meta").mapInArrow(_scores(model), "doc_id long, text_logit double, meta_logit double, score double")
     return scored.withColumn("keep", F.col("score") >= cut)
