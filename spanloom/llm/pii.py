@@ -1,7 +1,7 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM estimates their reliabilities, a span classifier decides.
 
-Exact base patterns (e-mail, IPv4, payment card, international phone) always stand. Further candidates (secrets, national
-phone numbers, spelled-out e-mail addresses, IPv6 addresses) get votes of a pattern, a gazetteer, a context and a shape
+Exact base patterns (e-mail, IPv4, payment card, international phone) always stand. Further candidates (secrets, account and
+social security numbers, national phone numbers, spelled-out e-mail addresses, IPv6 addresses) get votes of a pattern, a gazetteer, a context and a shape
 labeler: +1 personal, -1 not, 0 none. All candidates of the corpus are counted by kind, votes and shape features; these
 counts (a table bounded by the codes, at most ``MOST_CODES`` rows) give the labelers' reliabilities by EM and train the
 logistic span classifier on the EM posteriors. Every document is then searched again with the fitted classifier.
@@ -12,7 +12,9 @@ returns nothing; every scan is linear in the text's length; other columns are ke
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -26,18 +28,21 @@ from .words import slices
 
 #: Kinds in output order; the first four are the base.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret")
+KINDS = (*BASE, "secret", "id")
 # Words that stand beside personal data, and words that name secrets.
 CONTEXT = {
     "email": ("mail", "contact", "write", "correo", "courriel", "schreib"),
     "ip": ("ip", "server", "host", "address", "adresse"),
     "phone": ("tel", "phone", "call", "fax", "mobile", "anruf", "telefon", "móvil"),
     "secret": ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "credential", "contraseña", "passwort"),
+    "id": ("iban", "account", "konto", "cuenta", "compte", "ssn", "social security"),
 }
 GAZETTEER = {
     "email": ("com", "org", "net", "edu", "gov", "de", "fr", "es", "io", "uk", "eu"),
-    "secret": ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key"),
+    "secret": ("password", "passwd", "pwd", "passphrase", "passwort", "contraseña", "token", "secret", "api_key", "apikey", "access_key", "private_key", "auth_key", "credential", "credentials"),
 }
+# Lengths of account numbers by country.
+IBAN = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
 LABELERS = 4
 FEATURES = 5
 MOST_CODES = len(KINDS) * 3**LABELERS * 2**FEATURES
@@ -49,10 +54,29 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_])([A-Za-z_]{2,24})\x20?[=:]\x20?(\"?)([A-Za-z0-9+/_.-]{8,}+)")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+)\x20?[=:]\x20?(\"?)([A-Za-z0-9+/_.-]{8,}+)")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])")
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._-])([A-Za-z0-9._-]{2,64})\x20?[\[(]at[\])]\x20?([A-Za-z0-9-]{2,64}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z]{2,12}){1,3})")
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._-])([A-Za-z0-9._-]{2,}+)\x20?[\[(]at[\])]\x20?([A-Za-z0-9-]{2,}+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z]{2,}+)++)")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9A-Za-z:])")
+# Secrets that show by their form (cloud and repository keys, signed web tokens).
+_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+
+
+def iban(text: str, at: int) -> int:
+    """End of the account number (single blanks allowed) that begins at a place of ``text``; 0 if its length or check digits are wrong."""
+    want, own = IBAN.get(text[at : at + 2], 0), ""
+    for i in range(at, min(len(text), at + 2 * want)):
+        c = text[i]
+        if c.isascii() and (c.isdigit() or c.isupper()):
+            own += c
+        elif c != " " or text[i - 1] == " ":
+            return 0
+        if len(own) == want:
+            ends = i + 1 == len(text) or not (text[i + 1].isascii() and text[i + 1].isalnum())
+            return (i + 1) * (ends and int("".join(str(int(x, 36)) for x in own[4:] + own[:4])) % 97 == 1)
+    return 0
 
 
 def luhn(digits: str) -> bool:
@@ -102,7 +126,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     found: list[tuple[int, int, int, str, bool, str]] = []  # kind, start, end, value, strict pattern, name before it
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
-            named = m[1].lower() in GAZETTEER["secret"]
+            named = m[1].lower().endswith(GAZETTEER["secret"])
             if named or (_DIGIT.search(m[3]) and len(m[3]) >= 16):
                 found.append((4, m.start(3), m.end(3), m[3], bool(re.fullmatch(r"[0-9a-fA-F]{16,}", m[3])), m[1].lower()))
         found += [(1, m.start(), m.end(), m[0], True, "") for m in _IPV6.finditer(text)]
@@ -110,11 +134,27 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         found += [(3, m.start(), m.end(), m[0], True, "") for m in _LOCAL_PHONE.finditer(text)]
     if "[at]" in text or "(at)" in text:
         found += [(0, m.start(), m.end(), m[0], True, m[2].lower()) for m in _SPELLED.finditer(text)]
+    if "AKIA" in text or "gh" in text or "xox" in text or "eyJ" in text:
+        found += [(4, m.start(), m.end(), m[0], True, "token") for m in _TOKEN.finditer(text)]
+    if _DIGIT.search(text):
+        found += [(5, m.start(), z, text[m.start() : z], True, "") for m in _IBAN.finditer(text) if (z := iban(text, m.start()))]
+        if "-" in text:
+            found += [(5, m.start(), m.end(), m[0], False, "") for m in _SSN.finditer(text)]
     out, last = [], -1
     taken = sorted((a, z) for _, a, z in base)
+    reach = list(itertools.accumulate((z for _, z in taken), max))  # ascending: spans before the first reach over a place end before it
+
+    def beside(a: int, z: int) -> Iterator[tuple[int, int]]:
+        """Base spans that overlap [a, z); candidates don't overlap, so all of them together take linear time."""
+        i = bisect.bisect_right(reach, a)
+        while i < len(taken) and taken[i][0] < z:
+            if taken[i][1] > a:
+                yield taken[i]
+            i += 1
+
     for kind, a, z, value, strict, name in sorted(found, key=lambda x: (x[1], -x[2])):
         # a secret may hold digits that look like a card or an address; other overlaps are the base's
-        if a < last or any(a < y and x < z and not (kind == 4 and a <= x and y <= z and z - a > 2 * (y - x)) for x, y in taken):
+        if a < last or any(not (kind == 4 and a <= x and y <= z and z - a > 2 * (y - x)) for x, y in beside(a, z)):
             continue
         last = z
         near = (text[max(0, a - 40) : a] + " " + text[z : z + 20]).lower()
@@ -122,7 +162,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         e = _entropy(value)
         votes = (
             1 if strict else 0,
-            (1 if name in GAZETTEER[KINDS[kind]] or name.rpartition(".")[2] in GAZETTEER[KINDS[kind]] else -1) if KINDS[kind] in GAZETTEER else 0,
+            (1 if name.endswith(GAZETTEER[KINDS[kind]]) else -1) if KINDS[kind] in GAZETTEER else 0,
             1 if any(w in near for w in CONTEXT.get(KINDS[kind], ())) else -1,
             (1 if e >= 3 and digits >= 3 else -1) if kind == 4 else (1 if digits in (0, 10) else 0),
         )
@@ -211,7 +251,7 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """Per row of ``docs`` (``doc_id``, ``text``): base counts, SHA-256 of the base spans, all spans."""
+    """Per row of ``docs`` (``doc_id``, ``text``): base counts, SHA-256 of the base spans, all spans, and n_spans, the number of all."""
     weights = learn(docs) if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,14 +260,14 @@ def find(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
             for t in b.column(1).to_pylist():
                 base, spans = all_spans(t, weights)
                 kinds = [k for k, *_ in base]
-                rows.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(_said(base).encode()).hexdigest(), _said(spans)))
+                rows.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(_said(base).encode()).hexdigest(), _said(spans), len(spans)))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])],
-                names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"],
+                [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:6]), pa.array(cols[6], pa.int64())],
+                names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(docs: DataFrame, weights: np.ndarray | None = None, text: str = "text") -> DataFrame:
