@@ -93,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licences": licences.oracle()}
+    return {"op5_licences": licences.oracle(), "op9_quality_rules": rules.oracle(), "op10_url_filter": hosts.oracle(URL_RULES)}

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import numpy as np
@@ -53,6 +54,45 @@ def test_certified_cutoffs(spark):
     assert rules.certify(m, labels.where("false")).count() == 0
 
 
+def test_cutoffs_against_brute_force(spark):
+    rng = random.Random(8)
+    share = lambda good: rng.choice([0, 0, 0, 0, 0, 0, 0, 0, 0, 3] if good else [0, 3, 7, 15, 25])
+    rows, labels = [], []
+    for i in range(3000):
+        good, lang = i % 4 != 0, ["en", "de", None][i % 3]
+        n = share(good)
+        rows.append((i, " ".join(f"w{i}x{j}" for j in range(60 - n)) + " %%%%%%" * n, lang))
+        labels.append((i, good))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = rules.measure(df).cache()
+    options = {"alpha": 0.5, "delta": 0.2, "penalty": 0.5}
+    got = {(r.stratum, r.statistic): r.cutoff for r in rules.certify(m, spark.createDataFrame(labels, "doc_id long, good boolean"), **options).collect()}
+    cdf = lambda k, n, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    held = m.where(~rules.base_failed()).select("doc_id", "lang", *(v.alias(s) for s, v in rules.statistics().items())).collect()
+    good, want = dict(labels), {}
+    for lang in ("en", "de", None):
+        own = [r for r in held if r.lang == lang]
+        n = sum(good[r.doc_id] for r in own)
+        for s, (sign, cuts) in rules.GRID.items():
+            best = None
+            for cut in cuts:
+                k = sum(good[r.doc_id] and r[s] * sign > cut * sign for r in own)
+                bad = sum(not good[r.doc_id] and r[s] * sign > cut * sign for r in own)
+                if cdf(k, n, 0.1) > 0.2 / (3 * len(rules.GRID)):
+                    break
+                if bad - 0.5 * k > 0 and (best is None or bad - 0.5 * k > best[0]):
+                    best = (bad - 0.5 * k, cut)
+            if best:
+                want["" if lang is None else f"={lang}", s] = best[1]
+    assert got == want and want
+
+
+def test_measures_replace_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "en", 9, True)], "doc_id long, text string, lang string, n_words long, kept boolean")
+    out = rules.verdict(rules.measure(df), rules.certify(rules.measure(df), spark.createDataFrame([], "doc_id long, good boolean"))).head()
+    assert (out.n_words, out.kept) == (2, False)
+
+
 def test_urls(spark):
     urls = ["http://A.B.example.NET/en/x?q#f", "x://example.com/de/1", "net", None, "a://net", "a://net/", "http://q.org/fr/", "http://notnet/", "h://b.example.com?x=/de/", "y://ÄB.org/fr/9#"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -73,6 +113,40 @@ def test_reputation(spark):
     assert 0.2 < v[900].rate < 0.8 and hosts.judge(pages.where("false"), outcome, []).count() == 0
 
 
+def test_reputation_against_brute_force(spark):
+    rng = random.Random(6)
+    counts = [(f"h{i}.d{i % 17}.{'com' if i % 3 else 'org'}", n := rng.randint(0, 40), rng.randint(0, n) if i % 5 else n // 8) for i in range(200)] + [("", 3, 1), ("net", 2, 2)]
+    got = {r.host: r for r in hosts.reputation(spark.createDataFrame(counts, "host string, n long, bad long")).collect()}
+    up = lambda h: ".".join(h.split(".")[-2:])
+    tld = lambda h: h.split(".")[-1]
+
+    def total(rows, key):
+        out = {}
+        for k, n, b in rows:
+            a = out.setdefault(key(k), [0, 0])
+            a[0], a[1] = a[0] + n, a[1] + b
+        return [(k, *v) for k, v in out.items()]
+
+    def strength(rows, key):
+        rows = [r for r in rows if r[1]]
+        m = {k: b / n for k, n, b in total(rows, key)}
+        s = sum(n * (b / n - m[key(k)]) ** 2 for k, n, b in rows)
+        v, w = (sum(f(n) * m[key(k)] * (1 - m[key(k)]) for k, n, b in rows) for f in (float, lambda n: 1.0))
+        rho = min(max((s - w) / (v - w) if v > w else 0.0, 0.001), 0.5)
+        return (1 - rho) / rho
+
+    d, s = total(counts, up), total(total(counts, up), tld)
+    mean, k = (sum(x[2] for x in s) + 1) / (sum(x[1] for x in s) + 2), strength(s, lambda _: 0)
+    by_s = {t: (b + mean * k) / (n + k) for t, n, b in s}
+    k = strength(d, tld)
+    by_d = {t: (b + by_s[tld(t)] * k) / (n + k) for t, n, b in d}
+    k = strength(counts, up)
+    for h, n, b in counts:
+        x, y = b + by_d[up(h)] * k, n - b + (1 - by_d[up(h)]) * k
+        rate = x / (x + y)
+        assert abs(got[h].rate - rate) < 1e-9 and abs(got[h].lower - max(0, rate - 2 * math.sqrt(rate * (1 - rate) / (x + y + 1)))) < 1e-9
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -96,6 +170,25 @@ def test_pii_base():
         assert sorted(pii.base_spans(t)) == plain_spans(t), t
 
 
+def test_pii_has_no_caps():
+    weights = pii.fit([])
+    value = hashlib.sha256(b"x").hexdigest() * 80
+    text = f"a {'long' * 30}_token = {value} z"
+    assert [text[a:z] for k, a, z, _ in pii.candidates(text, []) if k == 4] == [value]
+    spelled = f"{'n' * 300} [at] {'m' * 300}.example.com"
+    assert [spelled[a:z] for k, a, z, _ in pii.candidates(spelled, []) if k == 0] == [spelled]
+    numbers = " ".join(f"10.0.{i % 250}.7 555-123-{i % 10000:04} +1 202 555 01{i % 100:02}x" for i in range(30_000))
+    began = time.process_time()
+    base, spans = pii.all_spans(numbers, weights)
+    assert len(base) >= 60_000 and time.process_time() - began < 30
+
+
+def test_account_numbers():
+    text = "IBAN DE89 3704 0044 0532 0130 00 AND GB82WEST12345698765432, not DE89 3704 0044 0532 0130 01; ssn 123-45-6789 000-12-3456"
+    found = [text[a:z] for k, a, z, _ in pii.candidates(text, []) if k == 5]
+    assert found == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "123-45-6789"]
+
+
 def test_pii(spark):
     rows = [(i, f'mail bob{i}@mail.example.com or +1 (555) 010-{1000 + i}, server 10.0.0.{i % 256} token = "{hashlib.sha1(str(i).encode()).hexdigest()}" end') for i in range(10, 70)]
     rows += [(100 + i, f"plain words {i} and key = some-long-plain-name here") for i in range(60)] + AWKWARD
@@ -190,8 +283,87 @@ def test_classifier(spark):
     rows = [(i, bad() if i % 4 == 0 else good()) for i in range(10, 810)]
     df = docs(spark, rows + AWKWARD)
     labels = spark.createDataFrame([(i, i % 4 != 0) for i in range(10, 410)], "doc_id long, good boolean")
-    out = {r.doc_id: r for r in cotrain.score(df, labels, labelled=300, unlabelled=200).collect()}
+    out = {r.doc_id: r for r in cotrain.score(df, labels, labelled=300).collect()}
     held = [out[i].keep == (i % 4 != 0) for i in range(410, 810)]
     assert np.mean(held) > 0.97 and len(cotrain.score(df, labels).collect()) == len(rows) + len(AWKWARD)
     none = cotrain.score(df, labels.where("false")).collect()
     assert {r.score for r in none} == {0.5} and all(r.keep for r in none)
+
+
+def plain_template(text):
+    """(template word, value) of each word, as the module's docstring says."""
+    ws, out = re.split(r"[\x20\x09-\x0D]+", text or ""), []
+    core = lambda w: "".join(c for c in w if c not in decontam.PUNCTUATION)
+    for i, w in enumerate(ws):
+        c, before = core(w), ws[i - 1] if i else ""
+        if not c:
+            continue
+        low = c.lower()
+        if "0" <= c[0] <= "9":
+            out.append(("<n>", low))
+        elif low in decontam.UNITS and "0" <= core(before)[:1] <= "9":
+            out.append(("<u>", low))
+        elif c[0] != c[0].lower() and c[1:2] == c[1:2].lower() and i and before[-1:] not in (".", "!", "?", ":", '"'):
+            out.append(("<p>", low))
+        else:
+            out.append((low, ""))
+    return out
+
+
+def plain_windows(text, size):
+    """(position, ordinary, key, values) of the windows of a text; those of mostly placeholders have all their words as key."""
+    w = plain_template(text)
+    for i in range(len(w) - size + 1):
+        part = w[i : i + size]
+        ordinary = 2 * sum(v == "" for _, v in part) >= size
+        yield i, ordinary, tuple(t for t, _ in part) if ordinary else tuple(v or t for t, v in part), [v for _, v in part], part
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(14)
+    vocabulary = ["the", "of", "train", "leaves", "at", "with", "how", "many", "is", "a", "Paris", "Anna", "Bob", "12", "7", "3.5", "km", "hours", "costs", "buys", "apples", "and", "then", "each"]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, say(rng.choice([3, 8, 12, 20, 30]))) for i in range(30)] + [(90, None), (91, "12 + 7 = 3"), (92, "")]
+    swap = {"Anna": "Carla", "12": "45", "km": "miles"}
+    rows = []
+    for i in range(150):
+        w = (rng.choice(items)[1] or "").split(" ")
+        if i % 3 == 1:  # other values, the same for each mention
+            w = [swap.get(x, x) for x in w]
+        if i % 3 == 2:  # some words are others
+            w = [rng.choice(vocabulary) if rng.random() < 0.08 else x for x in w]
+        rows.append((i, f"{say(rng.randint(0, 10))} {' '.join(w)} {say(rng.randint(0, 10))}"))
+    rows += [(500 + i, say(40)) for i in range(30)] + AWKWARD[:4]
+    want = set()
+    for d, text in rows:
+        for item, said in items:
+            total = len(plain_template(said))
+            size = min(8, total)
+            if not size:
+                continue
+            mine = list(plain_windows(said, size))
+            n_plain = len({i for i, ordinary, *_ in mine if ordinary})
+            lines = {}
+            theirs = list(plain_windows(text, size))
+            exactly = {i: tuple(v or t for t, v in part) for i, _, _, _, part in theirs}
+            for i, ordinary, key, values, _ in mine:
+                for j, other, theirs_key, theirs_values, _ in theirs:
+                    if (ordinary and other and key == theirs_key) or (not ordinary and key == exactly[j]):
+                        lines.setdefault(j - i, []).append((i, ordinary, values, theirs_values))
+            matched, plain = set(), set()
+            for hits in lines.values():
+                maps = {}
+                for _, ordinary, values, theirs_values in hits:
+                    for a, b in zip(values, theirs_values, strict=True):
+                        if ordinary and a:
+                            maps.setdefault(a, set()).add(b)
+                clash = {a for a, bs in maps.items() if len(bs) > 1}
+                for i, ordinary, values, _ in hits:
+                    if not ordinary or not clash & set(values):
+                        matched.add(i)
+                        plain |= {i} if ordinary else set()
+            if matched and (len(matched) >= 0.5 * len(mine) or (n_plain and len(plain) >= 0.5 * n_plain) or len(matched) >= 13):
+                want.add((d, item, len(matched)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_matched) for r in decontam.contaminated(docs(spark, rows), bench).collect()}
+    assert got == want and len({d for d, *_ in want}) > 90
