@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,45 +81,60 @@ def fisher_counts(x: DataFrame, y: DataFrame, genome: DataFrame, bin_size: int |
     return out.join(count(pairs, "n_i"), "__one").join(one(g.agg(F.sum("size").alias("genome_size"))), "__one").drop("__one")
 
 
-def _log_choose(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+def _table_weights(m: int, n: int, k: int, odds: float, hold: int, far: float = 45.0) -> tuple[int, np.ndarray]:
+    """First count and probabilities of a 2 x 2 table's first cell (margins m, n and k) at an odds ratio.
+
+    Summed outward from the mode over ``far`` standard deviations, beyond which nothing is left in double precision; ``hold`` is
+    included if it lies within as many again. Memory follows the square root of the margins.
+    """
+    lo, hi = max(0, k - n), min(k, m)
+    # the mode solves (m - i)(k - i) odds = i (n - k + i)
+    a, b, c = odds - 1, -((m + k) * odds + n - k), m * k * odds
+    root = -c / b if abs(a) < 1e-12 else 2 * c / (-b + math.sqrt(max(b * b - 4 * a * c, 0)))
+    mode = min(max(round(root), lo), hi)
+    curve = 1 / max(mode, 1) + 1 / max(m - mode, 1) + 1 / max(k - mode, 1) + 1 / max(n - k + mode, 1)
+    reach = math.ceil(far / math.sqrt(curve)) + 50
+    first, last = max(lo, mode - reach), min(hi, mode + reach)
+    if abs(hold - mode) <= 2 * reach:
+        first, last = min(first, hold), max(last, hold)
+    i = np.arange(first, last, dtype=np.float64)
+    steps = np.log(m - i) + np.log(k - i) + math.log(odds) - np.log(i + 1) - np.log(n - k + i + 1)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    w = np.exp(logs - logs.max())
+    return first, w / w.sum()
 
 
 def fisher_exact(a: int, b: int, cc: int, d: int, level: float = 0.95) -> dict[str, float]:
     """Two-sided exact test of a 2 x 2 table: p.value, conditional estimate of the odds ratio and its confidence limits."""
     m, n, k = a + cc, b + d, a + b
     lo, hi = max(0, k - n), min(k, m)
-    logs = [_log_choose(m, i) + _log_choose(n, k - i) for i in range(lo, hi + 1)]
-
-    def weights(odds: float) -> list[float]:
-        shifted = [v + (i + lo) * math.log(odds) for i, v in enumerate(logs)]
-        top = max(shifted)
-        w = [math.exp(v - top) for v in shifted]
-        s = sum(w)
-        return [v / s for v in w]
-
-    mean = lambda o: sum((i + lo) * v for i, v in enumerate(weights(o)))
-    upper = lambda o: sum(weights(o)[a - lo :])
-    lower = lambda o: sum(weights(o)[: a - lo + 1])
-    base = weights(1.0)
-    p = min(1.0, sum(v for v in base if v <= base[a - lo] * (1 + 1e-7)))
-
-    def root(f, target: float) -> float:
+
+    def at(log_odds: float) -> tuple[np.ndarray, np.ndarray]:
+        first, w = _table_weights(m, n, k, math.exp(log_odds), a)
+        return first + np.arange(len(w)), w
+
+    mean = lambda o: float((lambda i, w: (i * w).sum())(*at(o)))
+    upper = lambda o: float((lambda i, w: w[i >= a].sum())(*at(o)))
+    lower = lambda o: float((lambda i, w: w[i <= a].sum())(*at(o)))
+    i, base = at(0.0)
+    own = base[i == a]
+    p = min(1.0, float(base[base <= own[0] * (1 + 1e-7)].sum())) if len(own) else 0.0
+
+    def root(f, target: float, rising: bool) -> float:
         low, high = -60.0, 60.0
-        rising = f(math.exp(1.0)) >= f(math.exp(-1.0))
-        for _ in range(200):
+        for _ in range(80):
             mid = (low + high) / 2
-            if (f(math.exp(mid)) < target) == rising:
+            if (f(mid) < target) == rising:
                 low = mid
             else:
                 high = mid
         return math.exp((low + high) / 2)
 
     alpha = (1 - level) / 2
-    estimate = 0.0 if a == lo else math.inf if a == hi else root(mean, a)
+    estimate = 0.0 if a == lo else math.inf if a == hi else root(mean, a, True)
     return {
         "estimate": estimate, "p.value": p,
-        "conf.low": 0.0 if a == lo else root(upper, alpha), "conf.high": math.inf if a == hi else root(lower, alpha),
+        "conf.low": 0.0 if a == lo else root(upper, alpha, True), "conf.high": math.inf if a == hi else root(lower, alpha, False),
     }
 
 

@@ -241,6 +241,22 @@ def test_distributions():
     assert abs(found["conf.low"] - 0.2117329) < 1e-5 and abs(found["conf.high"] - 626.2435306) < 1e-4  # where P(X <= 3) is 0.025
 
 
+def test_exact_test_of_large_tables():
+    """Against sums over the whole support, and at sizes where these can't be made."""
+    from math import exp, lgamma
+
+    choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    for a, b, c, d in ((40, 60, 30, 900), (0, 50, 60, 3000), (300, 200, 250, 4000), (5, 0, 3, 9)):
+        m, n, k = a + c, b + d, a + b
+        logs = [choose(m, i) + choose(n, k - i) - choose(m + n, k) for i in range(max(0, k - n), min(k, m) + 1)]
+        own = logs[a - max(0, k - n)]
+        assert abs(fisher_exact(a, b, c, d)["p.value"] / sum(exp(v) for v in logs if v <= own + 1e-7) - 1) < 1e-6
+    big = fisher_exact(50_500_000, 49_500_000, 49_500_000, 50_500_000)
+    assert big["p.value"] < 1e-300 or big["p.value"] == 0
+    assert abs(big["estimate"] / (50.5 / 49.5) ** 2 - 1) < 1e-3 and big["conf.low"] < big["estimate"] < big["conf.high"]
+    assert 0.2 < fisher_exact(50_003_000, 49_997_000, 49_997_000, 50_003_000)["p.value"] < 0.5
+
+
 def test_random_and_shuffle(spark):
     g = gen(spark, chr1=10000, chr2=5000)
     r = S.bed_random(spark, g, length=100, n=2000, seed=5)
