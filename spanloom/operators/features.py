@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import c, check_interval
@@ -32,8 +32,12 @@ def _exons(x: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return x.select("chrom", start.alias("start"), (start + F.col("p.size").cast("long")).alias("end"), "name", number.cast("long").alias("score"), "strand")
 
 
-def bed12_to_exons(x: DataFrame, sort: bool = False) -> DataFrame:
-    """A BED6 row per exon; score is the exon's number from the 5' end."""
+def bed12_to_exons(x: DataFrame | str, sort: bool = False) -> DataFrame:
+    """A BED6 row per exon; score is the exon's number from the 5' end. ``x`` may be the path of a bigBed file of twelve fields."""
+    if isinstance(x, str):
+        from ..sources.bigbinary import read_bigbed12
+
+        x = read_bigbed12(SparkSession.active(), x)
     out = _exons(x)
     return out.orderBy("chrom", "start", "end") if sort else out
 

@@ -16,12 +16,26 @@ from ..plans.islands import islands
 from ..plans.nearest import around
 from ..plans.overlap import overlap_pairs
 from ..schema import c, check_interval, group_keys, join_on
+from ..sources.bed import is_bigbed_path, is_bigwig_path
 from .transform import bed_slop
 
 
-def _sources(ys: tuple, named: dict) -> tuple[DataFrame, bool]:
-    """All y tables as one, with ``.source`` if there are several."""
-    tables: dict[str, DataFrame] = {}
+def _opened(x: DataFrame, y: DataFrame | str, regions: bool = True) -> DataFrame:
+    """``y``, or the entries of the bigWig or bigBed file that it names: with ``regions`` those that overlap ``x``."""
+    if not isinstance(y, str):
+        return y
+    if not (is_bigwig_path(y) or is_bigbed_path(y)):
+        raise ValueError(f"neither a table nor a bigWig or bigBed path: {y}")
+    from ..sources.bigbinary import read_bigbed, read_bigwig, read_bigwig_regions
+
+    if regions:
+        return read_bigwig_regions(x.sparkSession, y, check_interval(x))
+    return (read_bigwig if is_bigwig_path(y) else read_bigbed)(x.sparkSession, y)
+
+
+def _sources(x: DataFrame, ys: tuple, named: dict, regions: bool) -> tuple[DataFrame, bool]:
+    """All y tables (or bigWig and bigBed paths) as one, with ``.source`` if there are several."""
+    tables: dict[str, DataFrame | str] = {}
     for i, y in enumerate(ys):
         if isinstance(y, dict):
             tables |= y
@@ -32,22 +46,23 @@ def _sources(ys: tuple, named: dict) -> tuple[DataFrame, bool]:
     tables |= named
     if not tables:
         raise ValueError("no y table")
-    tables = {k: check_interval(t) for k, t in tables.items()}
+    tables = {k: check_interval(_opened(x, t, regions)) for k, t in tables.items()}
     if len(tables) == 1:
         return next(iter(tables.values())), False
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (t.withColumn(".source", F.lit(k)) for k, t in tables.items())), True
 
 
 def bed_intersect(
-    x: DataFrame, *ys: DataFrame, by: Sequence[str] | None = None, invert: bool = False, suffix: tuple[str, str] = (".x", ".y"),
-    min_overlap: int = 1, bin_size: int | None = None, **named: DataFrame,
+    x: DataFrame, *ys: DataFrame | str, by: Sequence[str] | None = None, invert: bool = False, suffix: tuple[str, str] = (".x", ".y"),
+    min_overlap: int = 1, bin_size: int | None = None, **named: DataFrame | str,
 ) -> DataFrame:
     """Pairs of x and y rows that overlap by ``min_overlap`` at least; with ``invert``, the x rows without one.
 
+    A y table may be the path of a bigWig or bigBed file, here and in window, map, coverage and subtract.
     Several y tables (arguments, keywords, lists or dicts) are told apart by ``.source``.
     """
     x = check_interval(x)
-    y, several = _sources(ys, named)
+    y, several = _sources(x, ys, named, min_overlap > 0)
     keys = group_keys(x, by, y)
     if invert:
         at = [*keys, "start", "end"]
@@ -63,7 +78,7 @@ def bed_intersect(
 
 
 def bed_window(
-    x: DataFrame, y: DataFrame, genome: DataFrame, by: Sequence[str] | None = None, both: float = 0, left: float = 0, right: float = 0,
+    x: DataFrame, y: DataFrame | str, genome: DataFrame, by: Sequence[str] | None = None, both: float = 0, left: float = 0, right: float = 0,
     fraction: bool = False, strand: bool = False, trim: bool = False, suffix: tuple[str, str] = (".x", ".y"), min_overlap: int = 1, bin_size: int | None = None,
 ) -> DataFrame:
     """Pairs of y rows with x rows widened by ``both`` or ``left``/``right``; x keeps its own coordinates, ``.overlap`` is that of the widened."""
@@ -91,20 +106,18 @@ def bed_closest(
     met = met.withColumn(".dist", F.when(c(".overlap") > 0, 0).otherwise(F.when(up, -1).otherwise(1)).cast("long"))
     best = around(x, y, keys)
     gu, gd = F.col("start") - F.col("up"), F.col("dn") - F.col("end")
-    best = best.withColumns({"__gu": gu, "__gd": gd}).withColumn("__g", F.least("__gu", "__gd")).where("__g > 0")
-    others = [n for n in y.columns if n != "chrom"]
-    y_side = y.select(*(c(k).alias(f"__k_{k}") for k in keys), *(c(n).alias(n + sy) for n in others))
-    match = reduce(lambda a, k: a & c(k).eqNullSafe(c(f"__k_{k}")), keys[1:], c(keys[0]).eqNullSafe(c(f"__k_{keys[0]}")))
-
-    def tied(gap: str, edge: str, mine: str, sign: int) -> DataFrame:
-        near = best.where(c(gap) == c("__g")).join(y_side, match & (c(mine) == c(edge + sy)))
-        return near.withColumn(".dist", (c("__g") + 1) * sign)
-
-    near = tied("__gu", "end", "up", -1).unionByName(tied("__gd", "start", "dn", 1))
+    g = F.least(gu, gd)
+    # the nearer side, or both, as rows; every y row stands at both of its edges: one join finds all ties
+    sides = F.array(F.when(gu == g, F.struct(F.lit(-1).alias("s"), F.col("up").alias("e"))), F.when(gd == g, F.struct(F.lit(1).alias("s"), F.col("dn").alias("e"))))
     at = [*keys, "start", "end"]
-    near = near.select(*map(c, at), *(c(n + sy) for n in others), c(".dist"))
+    best = best.where(g > 0).select(*(c(k).alias(f"__n_{k}") for k in at), (g + 1).alias("__g"), F.explode(sides).alias("__side")).where("__side is not null")
+    best = best.select(*(c(f"__n_{k}") for k in at), "__g", F.col("__side.s").alias("__s"), F.col("__side.e").alias("__e"))
+    others = [n for n in y.columns if n != "chrom"]
+    edges = F.array(F.struct(F.lit(-1).alias("s"), c("end").alias("e")), F.struct(F.lit(1).alias("s"), c("start").alias("e")))
+    y_side = y.withColumn("__edge", F.explode(edges)).select(*(c(k).alias(f"__k_{k}") for k in keys), *(c(n).alias(n + sy) for n in others), F.col("__edge.s").alias("__ys"), F.col("__edge.e").alias("__ye"))
+    match = reduce(lambda a, k: a & c(f"__n_{k}").eqNullSafe(c(f"__k_{k}")), keys, (c("__s") == c("__ys")) & (c("__e") == c("__ye")))
+    near = best.join(y_side, match).select(*(c(f"__n_{k}") for k in at), *(c(n + sy) for n in others), (c("__g") * c("__s")).alias(".dist"))
     x_side = x.select(*(c(k).alias(f"__k_{k}") for k in at), "chrom", *(c(n).alias(n + sx) for n in x.columns if n != "chrom"))
-    near = near.withColumnsRenamed({k: f"__n_{k}" for k in at})
     both = reduce(lambda a, k: a & c(f"__k_{k}").eqNullSafe(c(f"__n_{k}")), at[1:], c("__k_chrom").eqNullSafe(c("__n_chrom")))
     near = x_side.join(near, both).withColumn(".overlap", F.lit(0).cast("long")).select(*map(c, met.columns))
     alone = join_on(x, y.select(*map(c, keys)).distinct(), keys, "left_anti").select("chrom", *(c(n).alias(n + sx) for n in x.columns if n != "chrom"))
@@ -113,14 +126,17 @@ def bed_closest(
 
 
 def bed_map(
-    x: DataFrame, y: DataFrame, by: Sequence[str] | None = None, min_overlap: int = 1, bin_size: int | None = None, x_columns: Sequence[str] = (), **exprs: Column
+    x: DataFrame, y: DataFrame | str, by: Sequence[str] | None = None, min_overlap: int = 1, bin_size: int | None = None, x_columns: Sequence[str] = (), **exprs: Column
 ) -> DataFrame:
     """``x`` with aggregates of the y rows that overlap it; null where none does.
 
     Expressions name y columns as they are and x columns (chrom, start, end, keys and ``x_columns``) with ``.x``.
     """
-    x, y = check_interval(x), check_interval(y)
+    x = check_interval(x)
+    y = check_interval(_opened(x, y, min_overlap > 0))
     keys = group_keys(x, by, y)
+    if not exprs:
+        raise ValueError("no expression to aggregate the overlapping rows with")
     at = list(dict.fromkeys([*keys, "start", "end", *x_columns]))
     pairs = overlap_pairs(x.select(*map(c, at)).distinct(), y, keys, min_overlap, bin_size, (".x", ""))
     found = pairs.withColumn("chrom.x", c("chrom")).groupBy(*(c("chrom").alias("__k_chrom") if k == "chrom" else c(k + ".x").alias(f"__k_{k}") for k in at))
@@ -130,9 +146,10 @@ def bed_map(
     return join_on(x, found, at, "left")
 
 
-def bed_coverage(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None, min_overlap: int = 1, bin_size: int | None = None) -> DataFrame:
+def bed_coverage(x: DataFrame, y: DataFrame | str, by: Sequence[str] | None = None, min_overlap: int = 1, bin_size: int | None = None) -> DataFrame:
     """``x`` with ``.ints`` (overlapping y rows), ``.cov`` (bases under their union), ``.len`` and ``.frac``."""
-    x, y = check_interval(x), check_interval(y)
+    x = check_interval(x)
+    y = check_interval(_opened(x, y, min_overlap > 0))
     keys = group_keys(x, by, y)
     at = [*keys, "start", "end"]
     pairs = overlap_pairs(x.select(*map(c, at)).distinct(), y.select(*map(c, at)), keys, min_overlap, bin_size)
@@ -148,9 +165,10 @@ def bed_coverage(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None, mi
     return out.withColumn(".frac", F.when(c(".len") != 0, c(".cov") / c(".len")))
 
 
-def bed_subtract(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None, any: bool = False, min_overlap: int = 1, bin_size: int | None = None) -> DataFrame:
+def bed_subtract(x: DataFrame, y: DataFrame | str, by: Sequence[str] | None = None, any: bool = False, min_overlap: int = 1, bin_size: int | None = None) -> DataFrame:
     """The parts of x rows that no y row (overlapping by ``min_overlap``) covers; with ``any``, the coordinates of x rows without overlap."""
-    x, y = check_interval(x), check_interval(y)
+    x = check_interval(x)
+    y = check_interval(_opened(x, y, min_overlap > 0))
     keys = group_keys(x, by, y)
     if any:
         return bed_intersect(x, y, by=by, invert=True, min_overlap=min_overlap, bin_size=bin_size).select("chrom", "start", "end")

@@ -12,7 +12,7 @@ from spanloom.sources import bigbinary
 from spanloom.sources.bed import extension, is_bigbed_path, is_bigwig_path
 from spanloom.sources.db import db_ensembl, db_ucsc
 from spanloom.streaming import merge_stream, overlap_stream
-from tests.helpers import ivl, rows
+from tests.helpers import gen, ivl, rows
 
 
 def write(path, text):
@@ -82,6 +82,13 @@ def test_bigwig(spark, tmp_path):
     assert rows(bigbinary.read_bigwig_regions(spark, path, ivl(spark, [("chr2", 5, 6), ("chr1", 5, 11)]), most=1)) == [every[0], every[4]]
     with pytest.raises(ValueError, match="not a file"):
         bigbinary.read_header(path, bigbinary.BIGBED)
+    x, y = ivl(spark, [("chr1", 15, 35), ("chr2", 8, 12), ("chr1", 200, 300)]), S.read_bigwig(spark, path)
+    sizes = gen(spark, chr1=500, chr2=500)
+    for verb in (S.bed_intersect, S.bed_coverage, S.bed_subtract, lambda x, y: S.bed_map(x, y, total=F.sum("value")), lambda x, y: S.bed_window(x, y, sizes, both=3)):
+        assert rows(verb(x, path)) == rows(verb(x, y)) != []
+    assert rows(S.bed_intersect(x, path, invert=True)) == [("chr1", 200, 300)]
+    with pytest.raises(ValueError, match="path"):
+        S.bed_intersect(x, "t.bed")
 
 
 def test_bigbed(spark, tmp_path):
@@ -90,6 +97,7 @@ def test_bigbed(spark, tmp_path):
     df = bigbinary.read_bigbed12(spark, path)
     assert rows(df, "start", "name", "cds_end") == [(100, "g", 450)]
     assert rows(S.bed12_to_exons(df), "start", "end") == [(100, 150), (400, 500)]
+    assert rows(S.bed12_to_exons(path)) == rows(S.bed12_to_exons(df))
 
 
 def test_streams(spark, tmp_path):
