@@ -26,5 +26,7 @@ def side(probes: DataFrame, values: DataFrame, keys: Sequence[str], at: Column,
 def around(x: DataFrame, y: DataFrame, keys: Sequence[str], width: int | None = None) -> DataFrame:
     """keys, start, end, up, dn of the distinct x coordinates: the last y end at or before start, the first y start at or after end."""
     probes = x.select(*map(c, [*keys, "start", "end"])).distinct()
+    if width is None:  # for both sides: x and y rows together
+        width = chunk_width(x.select(*map(c, keys), "start").unionByName(y.select(*map(c, keys), "start")), keys, "start")
     up = side(probes, y, keys, c("start"), c("end"), ["start", "end"], "up", True, True, width)
     return side(up, y, keys, c("end"), c("start"), ["start", "end", "up"], "dn", False, True, width)
