@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import spanloom as S
 
@@ -21,8 +22,19 @@ from .sources.bed import read_bed, read_bedgraph, write_bed, write_bedgraph
 EPOCH = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; its schema is looked up in the files once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def ev(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    t = read(spark, sf_dir, "events")
     if kinds:
         t = t.where(F.col("event_type").isin(*kinds))
     t = t.withColumns({"start": F.expr(f"timestampdiff(SECOND, {EPOCH}, ts)"), "chrom": F.concat(F.lit("u"), (F.col("user_id") % 24).cast("string"))})
@@ -32,7 +44,7 @@ def ev(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
 
 
 def li(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    t = read(spark, sf_dir, "lineitem")
     if flag:
         t = t.where(F.col("l_returnflag") == flag)
     start = F.col("l_partkey") * 100
@@ -48,7 +60,7 @@ def genome(x: DataFrame) -> DataFrame:
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BED12: one gene per order, its distinct lines are the exons."""
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    t = read(spark, sf_dir, "lineitem")
     t = t.select("l_orderkey", (F.col("l_partkey") * 100).alias("s"), (F.col("l_partkey") * 100 + F.floor(F.col("l_quantity") * 4).cast("long")).alias("e")).distinct()
     g = t.groupBy("l_orderkey").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.array_sort(F.collect_list(F.struct("s", "e"))).alias("x"))
     text = lambda f: F.array_join(F.transform("x", lambda p: f(p).cast("string")), ",")
@@ -71,7 +83,7 @@ x AS (SELECT * FROM ev WHERE kind = 'click'), y AS (SELECT * FROM ev WHERE kind
 genome AS (SELECT chrom, max(e) + 1000 AS size FROM ev GROUP BY chrom)"""
 _LI = """li AS (SELECT 's' || (l_suppkey % 25) AS chrom, l_partkey * 100 AS s, l_partkey * 100 + CAST(floor(l_quantity * 4) AS BIGINT) AS e, l_orderkey AS name, l_returnflag AS flag FROM lineitem),
 a AS (SELECT * FROM li WHERE flag = 'A'), r AS (SELECT * FROM li WHERE flag = 'R')"""
-_GENES = """lines AS (SELECT DISTINCT l_orderkey AS k, l_partkey * 100 AS s, l_partkey * 100 + CAST(floor(l_quantity * 4) AS BIGINT) AS e FROM lineitem WHERE l_orderkey % 10 = 0),
+_GENES = """lines AS (SELECT DISTINCT l_orderkey AS k, l_partkey * 100 AS s, l_partkey * 100 + CAST(floor(l_quantity * 4) AS BIGINT) AS e FROM lineitem),
 gene AS (SELECT 'g' || (k % 7) AS chrom, min(s) AS s, max(e) AS e, CAST(k AS VARCHAR) AS name, '0' AS score, CASE WHEN k // 10 % 2 = 0 THEN '+' ELSE '-' END AS strand,
  min(s) + (max(e) - min(s)) // 4 AS cs, max(e) - (max(e) - min(s)) // 4 AS ce FROM lines GROUP BY k),
 exon AS (SELECT 'g' || (k % 7) AS chrom, s, e, CAST(k AS VARCHAR) AS name, CASE WHEN k // 10 % 2 = 0 THEN '+' ELSE '-' END AS strand,
@@ -149,6 +161,7 @@ def _table() -> dict[str, Entry]:
     z = lambda s, d: ev(s, d, "error")
     o = lambda s, d: ev(s, d).where("kind <> 'click'")
     g = lambda s, d: genome(ev(s, d))
+    w = ev  # single-table verbs take all events
     three = lambda df: df.select("chrom", "start", "end", "name")
     pair = ["chrom", "start_x", "end_x", "name_x", "start_y", "end_y", "name_y", "overlap"]
     with_ev = lambda tail, mid="": f"WITH {_EV}{', ' if mid else ' '}{mid} {tail}"
@@ -199,49 +212,49 @@ def _table() -> dict[str, Entry]:
         with_ev('SELECT chrom, min(s) AS "start", max(e) AS "end", count(*) AS n, max(score) AS top, array_to_string(list(name ORDER BY s, name), \',\') AS names FROM i GROUP BY chrom, isl', _islands("ev")))
     for name, dist in (("cluster", 0), ("cluster_max_dist", 300)):
         add(name, lambda s, d, k=dist: plain(S.bed_cluster(ev(s, d), k)).select("chrom", "start", "end", "name", "id"), with_ev(f"SELECT chrom, {SE}, name, dense_rank() OVER (ORDER BY chrom, isl) AS id FROM i", _islands("ev", d=dist)))
-    add("complement", lambda s, d: S.bed_complement(x(s, d), g(s, d)), with_ev(
+    add("complement", lambda s, d: S.bed_complement(w(s, d), g(s, d)), with_ev(
         f"""SELECT chrom, {SE} FROM (SELECT chrom, coalesce(lag(e) OVER w, 0) AS s, s AS e FROM m WINDOW w AS (PARTITION BY chrom ORDER BY s) UNION ALL SELECT g.chrom, max(m.e), any_value(size) FROM m JOIN genome g ON m.chrom = g.chrom GROUP BY g.chrom
- UNION ALL SELECT chrom, 0, size FROM genome WHERE chrom NOT IN (SELECT chrom FROM m)) t WHERE s < e""", _merged("x", "m")))
-    add("spacing", lambda s, d: plain(S.interval_spacing(li(s, d, "A").select("chrom", "start", "end").distinct())), f"WITH {_LI}, t AS (SELECT DISTINCT chrom, s, e FROM a) SELECT chrom, {SE}, s - lag(e) OVER (PARTITION BY chrom ORDER BY s, e) AS spacing FROM t")
+ UNION ALL SELECT chrom, 0, size FROM genome WHERE chrom NOT IN (SELECT chrom FROM m)) t WHERE s < e""", _merged("ev", "m")))
+    add("spacing", lambda s, d: plain(S.interval_spacing(li(s, d).select("chrom", "start", "end").distinct())), f"WITH {_LI}, t AS (SELECT DISTINCT chrom, s, e FROM li) SELECT chrom, {SE}, s - lag(e) OVER (PARTITION BY chrom ORDER BY s, e) AS spacing FROM t")
     # sweeps
     add("genomecov", lambda s, d: plain(S.bed_genomecov(ev(s, d), g(s, d))), with_ev(f"SELECT chrom, {SE}, depth FROM sw WHERE e IS NOT NULL AND depth > 0", _depth("ev")))
     add("genomecov_by_strand", lambda s, d: plain(S.bed_genomecov(ev(s, d), g(s, d), by=["strand"])), with_ev(f"SELECT chrom, {SE}, strand, depth FROM sw WHERE e IS NOT NULL AND depth > 0", _depth("ev", "chrom, strand")))
-    add("genomecov_zero_depth", lambda s, d: plain(S.bed_genomecov(x(s, d), g(s, d), zero_depth=True)), with_ev(
+    add("genomecov_zero_depth", lambda s, d: plain(S.bed_genomecov(w(s, d), g(s, d), zero_depth=True)), with_ev(
         f"""SELECT chrom, {SE}, depth FROM (SELECT chrom, s, e, depth FROM sw WHERE e IS NOT NULL UNION ALL SELECT chrom, 0, min(s), 0 FROM sw GROUP BY chrom UNION ALL SELECT sw.chrom, max(s), any_value(size), 0 FROM sw JOIN genome g ON sw.chrom = g.chrom GROUP BY sw.chrom
- UNION ALL SELECT chrom, 0, size, 0 FROM genome WHERE chrom NOT IN (SELECT chrom FROM sw)) t WHERE s < e""", _depth("x")))
+ UNION ALL SELECT chrom, 0, size, 0 FROM genome WHERE chrom NOT IN (SELECT chrom FROM sw)) t WHERE s < e""", _depth("ev")))
     add("partition", lambda s, d: S.bed_partition(ev(s, d)), with_ev(f"SELECT chrom, {SE} FROM sw WHERE e IS NOT NULL AND depth > 0", _depth("ev")))
     add("partition_summary", lambda s, d: S.bed_partition(ev(s, d), n=F.count("*"), top=F.max("score")), with_ev(
         'SELECT sw.chrom, sw.s AS "start", sw.e AS "end", count(*) AS n, max(score) AS top FROM sw JOIN ev ON sw.chrom = ev.chrom AND sw.s < ev.e AND ev.s < sw.e WHERE sw.e IS NOT NULL AND depth > 0 GROUP BY ALL', _depth("ev")))
     # transforms
-    add("slop_both", lambda s, d: three(S.bed_slop(x(s, d), g(s, d), both=250)), with_ev(f"SELECT chrom, {SE}, name FROM b", _bounded("SELECT chrom, s - 250 AS s, e + 250 AS e, name FROM x")))
-    add("slop_fraction", lambda s, d: three(S.bed_slop(x(s, d), g(s, d), both=0.25, fraction=True)),
-        with_ev(f"SELECT chrom, {SE}, name FROM b", _bounded("SELECT chrom, s - CAST(round_even(0.25::DOUBLE * (e - s), 0) AS BIGINT) AS s, e + CAST(round_even(0.25::DOUBLE * (e - s), 0) AS BIGINT) AS e, name FROM x")))
+    add("slop_both", lambda s, d: three(S.bed_slop(w(s, d), g(s, d), both=250)), with_ev(f"SELECT chrom, {SE}, name FROM b", _bounded("SELECT chrom, s - 250 AS s, e + 250 AS e, name FROM ev")))
+    add("slop_fraction", lambda s, d: three(S.bed_slop(w(s, d), g(s, d), both=0.25, fraction=True)),
+        with_ev(f"SELECT chrom, {SE}, name FROM b", _bounded("SELECT chrom, s - CAST(round_even(0.25::DOUBLE * (e - s), 0) AS BIGINT) AS s, e + CAST(round_even(0.25::DOUBLE * (e - s), 0) AS BIGINT) AS e, name FROM ev")))
     add("slop_stranded_trim", lambda s, d: three(S.bed_slop(ev(s, d), g(s, d), left=5000, right=-100, strand=True, trim=True)),
         with_ev('SELECT chrom, least(s, e) AS "start", greatest(s, e) AS "end", name FROM b', _bounded("SELECT chrom, s - CASE WHEN strand = '+' THEN 5000 ELSE -100 END AS s, e + CASE WHEN strand = '+' THEN -100 ELSE 5000 END AS e, name FROM ev", True)))
     flank = "SELECT t.chrom, f.s, f.e, name FROM ({}) t, LATERAL (SELECT t.s - t.l AS s, t.s AS e, t.l AS n UNION ALL SELECT t.e, t.e + t.r, t.r) f WHERE f.n > 0"
     inside = f"SELECT b.chrom, b.{SE.replace(' e AS', ' b.e AS')}, name FROM b JOIN genome g ON b.chrom = g.chrom WHERE b.s >= 0 AND b.e <= size"
-    add("flank_both", lambda s, d: three(S.bed_flank(x(s, d), g(s, d), both=600)), with_ev(inside, "b AS (" + flank.format("SELECT *, 600 AS l, 600 AS r FROM x") + ")"))
+    add("flank_both", lambda s, d: three(S.bed_flank(w(s, d), g(s, d), both=600)), with_ev(inside, "b AS (" + flank.format("SELECT *, 600 AS l, 600 AS r FROM ev") + ")"))
     part = lambda p: f"CAST(round({p}::DOUBLE * (e - s)) AS BIGINT)"
     add("flank_fraction_stranded", lambda s, d: three(S.bed_flank(ev(s, d), g(s, d), left=0.5, right=0.1, fraction=True, strand=True)),
         with_ev(inside, "b AS (" + flank.format(f"SELECT *, CASE WHEN strand = '+' THEN {part(0.5)} ELSE {part(0.1)} END AS l, CASE WHEN strand = '+' THEN {part(0.1)} ELSE {part(0.5)} END AS r FROM ev") + ")"))
-    add("shift", lambda s, d: three(S.bed_shift(x(s, d), g(s, d), size=-700)), with_ev(f"SELECT chrom, {SE}, name FROM b", _bounded("SELECT chrom, s - 700 AS s, e - 700 AS e, name FROM x")))
+    add("shift", lambda s, d: three(S.bed_shift(w(s, d), g(s, d), size=-700)), with_ev(f"SELECT chrom, {SE}, name FROM b", _bounded("SELECT chrom, s - 700 AS s, e - 700 AS e, name FROM ev")))
     half = "CAST(round_even(0.3::DOUBLE * (e - s), 0) AS BIGINT)"
-    add("shift_fraction", lambda s, d: three(S.bed_shift(x(s, d), g(s, d), fraction=0.3)), with_ev(f"SELECT chrom, {SE}, name FROM b", _bounded(f"SELECT chrom, s + {half} AS s, e + {half} AS e, name FROM x")))
+    add("shift_fraction", lambda s, d: three(S.bed_shift(w(s, d), g(s, d), fraction=0.3)), with_ev(f"SELECT chrom, {SE}, name FROM b", _bounded(f"SELECT chrom, s + {half} AS s, e + {half} AS e, name FROM ev")))
     sign = "CASE WHEN strand = '-' THEN -900 ELSE 900 END"
     add("shift_stranded", lambda s, d: three(S.bed_shift(ev(s, d), g(s, d), size=900, by=["strand"])), with_ev(f"SELECT chrom, {SE}, name FROM b", _bounded(f"SELECT chrom, s + {sign} AS s, e + {sign} AS e, name FROM ev")))
     far = lambda df: df.withColumns({"start": c("start") - 50_000, "end": c("end") - 20_000})
     add("bound", lambda s, d: three(S.bound_intervals(far(ev(s, d)), g(s, d))), with_ev(f"SELECT chrom, {SE}, name FROM b", _bounded("SELECT chrom, s - 50000 AS s, e - 20000 AS e, name FROM ev")))
     add("bound_trim", lambda s, d: three(S.bound_intervals(far(ev(s, d)), g(s, d), trim=True)), with_ev(f"SELECT chrom, {SE}, name FROM b", _bounded("SELECT chrom, s - 50000 AS s, e - 20000 AS e, name FROM ev", True)))
     wins = lambda df: plain(df).select("chrom", "start", "end", "name", "win_id")
-    size_sql = "w1 AS (SELECT chrom, s, e, name, {w} AS win, unnest(range(s, least(e - 1, e - {w} + {b}) + 1, {b})) AS ws FROM x), w2 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ws) AS i, count(*) OVER (PARTITION BY name) AS n FROM w1)"
+    size_sql = "w1 AS (SELECT chrom, s, e, name, {w} AS win, unnest(range(s, least(e - 1, e - {w} + {b}) + 1, {b})) AS ws FROM ev), w2 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ws) AS i, count(*) OVER (PARTITION BY name) AS n FROM w1)"
     tail = 'SELECT chrom, ws AS "start", CASE WHEN i = n THEN e ELSE least(ws + win, e) END AS "end", name, {} AS win_id FROM w2'
-    add("makewindows_size", lambda s, d: wins(S.bed_makewindows(x(s, d), win_size=600)), with_ev(tail.format("i"), size_sql.format(w=600, b=600)))
-    add("makewindows_step", lambda s, d: wins(S.bed_makewindows(x(s, d), win_size=600, step_size=250, reverse=True)), with_ev(tail.format("n - i + 1"), size_sql.format(w=600, b=250)))
-    num_sql = """w0 AS (SELECT *, CAST(round((e - s) / 7) AS BIGINT) AS win FROM x WHERE e - s >= 7), w1 AS (SELECT chrom, s, e, name, win, unnest(list_slice(range(s, least(e - 1, e) + 1, win), 1, 7)) AS ws FROM w0),
+    add("makewindows_size", lambda s, d: wins(S.bed_makewindows(w(s, d), win_size=600)), with_ev(tail.format("i"), size_sql.format(w=600, b=600)))
+    add("makewindows_step", lambda s, d: wins(S.bed_makewindows(w(s, d), win_size=600, step_size=250, reverse=True)), with_ev(tail.format("n - i + 1"), size_sql.format(w=600, b=250)))
+    num_sql = """w0 AS (SELECT *, CAST(round((e - s) / 7) AS BIGINT) AS win FROM ev WHERE e - s >= 7), w1 AS (SELECT chrom, s, e, name, win, unnest(list_slice(range(s, least(e - 1, e) + 1, win), 1, 7)) AS ws FROM w0),
 w2 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ws) AS i, count(*) OVER (PARTITION BY name) AS n FROM w1)"""
-    add("makewindows_num", lambda s, d: wins(S.bed_makewindows(x(s, d), num_win=7)), with_ev(tail.format("i"), num_sql))
+    add("makewindows_num", lambda s, d: wins(S.bed_makewindows(w(s, d), num_win=7)), with_ev(tail.format("i"), num_sql))
     add("flip_strands", lambda s, d: S.flip_strands(ev(s, d)).select("name", "strand"), with_ev("SELECT name, CASE WHEN strand = '+' THEN '-' ELSE '+' END AS strand FROM ev"))
-    add("sort_by_size", lambda s, d: S.bed_sort(x(s, d), by_size=True, by_chrom=True).select("chrom", "start", "end", "name"), with_ev(f"SELECT chrom, {SE}, name FROM x ORDER BY chrom, e - s"))
+    add("sort_by_size", lambda s, d: S.bed_sort(w(s, d), by_size=True, by_chrom=True).select("chrom", "start", "end", "name"), with_ev(f"SELECT chrom, {SE}, name FROM ev ORDER BY chrom, e - s"))
     add("sort", lambda s, d: S.bed_sort(li(s, d)).select("chrom", "start", "end", "name"), f"WITH {_LI} SELECT chrom, {SE}, name FROM li ORDER BY chrom, s, e")
     # features
     with_genes = lambda tail: f"WITH {_GENES} {tail}"
@@ -276,9 +289,13 @@ w2 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ws) AS i, count(*
     # randomising and files
     add("random", lambda s, d: S.bed_random(s, g(s, d), length=500, n=20_000, seed=7), None)
     add("shuffle", lambda s, d: S.bed_shuffle(x(s, d), g(s, d), excl=y(s, d), seed=7), None)
-    add("bed_roundtrip", _bed_roundtrip, with_ev(f"SELECT chrom, {SE}, CAST(name AS VARCHAR) AS name, CAST(score AS DOUBLE) AS score, strand FROM x"))
-    add("bedgraph_roundtrip", _bedgraph_roundtrip, with_ev(f"SELECT chrom, {SE}, score AS value FROM x"))
-    add("flagship", _flagship, None)
+    add("bed_roundtrip", _bed_roundtrip, with_ev(f"SELECT chrom, {SE}, CAST(name AS VARCHAR) AS name, CAST(score AS DOUBLE) AS score, strand FROM ev"))
+    add("bedgraph_roundtrip", _bedgraph_roundtrip, with_ev(f"SELECT chrom, {SE}, score AS value FROM ev"))
+    add("flagship", _flagship, with_ev("""SELECT chrom, s AS start_x, e AS end_x, name AS name_x, ny AS name_y, dist FROM cfound JOIN dd USING (id) WHERE abs(dist) < 86400""", _subtract("", "x", "y") + """,
+dd AS (SELECT row_number() OVER () AS id, * FROM d),
+cp AS (SELECT dd.id, z.name AS ny, least(dd.e, z.e) - greatest(dd.s, z.s) AS ov, z.e <= dd.s AS up, CASE WHEN z.e <= dd.s THEN dd.s - z.e WHEN z.s >= dd.e THEN z.s - dd.e END AS gap FROM dd JOIN z ON dd.chrom = z.chrom),
+cnear AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY gap) AS k FROM cp WHERE gap IS NOT NULL),
+cfound AS (SELECT id, ny, CASE WHEN ov > 0 THEN 0 WHEN up THEN -1 ELSE 1 END AS dist FROM cp WHERE ov >= 0 UNION ALL SELECT id, ny, CASE WHEN up THEN -(gap + 1) ELSE gap + 1 END FROM cnear WHERE k = 1 AND gap > 0)"""))
     return q
 
 
@@ -287,23 +304,27 @@ def three2(df: DataFrame, *more: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one that the session names, or a temporary one where none is named."""
+    """A new folder below the shared one that the session names; on one machine, where none is named, below a temporary one."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        base = tempfile.mkdtemp(prefix="spanloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _bed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "bed")
-    write_bed(ev(spark, sf_dir, "click"), path)
+    write_bed(ev(spark, sf_dir), path)
     return read_bed(spark, path, sort=False).withColumn("score", F.col("score").cast("double"))
 
 
 def _bedgraph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "bedgraph")
-    write_bedgraph(ev(spark, sf_dir, "click").withColumn("value", F.col("score")), path)
+    write_bedgraph(ev(spark, sf_dir).withColumn("value", F.col("score")), path)
     return read_bedgraph(spark, path)
 
 
