@@ -291,6 +291,14 @@ w2 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ws) AS i, count(*
     add("shuffle", lambda s, d: S.bed_shuffle(x(s, d), g(s, d), excl=y(s, d), seed=7), None)
     add("bed_roundtrip", _bed_roundtrip, with_ev(f"SELECT chrom, {SE}, CAST(name AS VARCHAR) AS name, CAST(score AS DOUBLE) AS score, strand FROM ev"))
     add("bedgraph_roundtrip", _bedgraph_roundtrip, with_ev(f"SELECT chrom, {SE}, score AS value FROM ev"))
+    add("genome_roundtrip", _genome_roundtrip, with_ev("SELECT chrom, size FROM genome"))
+    add("bed12_roundtrip", _bed12_roundtrip, with_genes(
+        """SELECT g.chrom, g.s AS "start", g.e AS "end", g.name, g.score, g.strand, cs AS cds_start, ce AS cds_end, '0' AS item_rgb, CAST(count(*) AS INTEGER) AS exon_count,
+ string_agg(CAST(x.e - x.s AS VARCHAR), ',' ORDER BY x.s, x.e) AS exon_sizes, string_agg(CAST(x.s - g.s AS VARCHAR), ',' ORDER BY x.s, x.e) AS exon_starts FROM gene g JOIN exon x ON g.name = x.name GROUP BY ALL"""))
+    peak = f"SELECT chrom, {SE}, CAST(name AS VARCHAR) AS name, CAST(floor(score) AS INTEGER) AS score, strand, score AS signal, -1.0::DOUBLE AS pvalue, 0.5::DOUBLE AS qvalue"
+    add("narrowpeak_roundtrip", lambda s, d: _peaks(s, d, S.read_narrowpeak, 10), with_ev(f"{peak}, 7 AS peak FROM ev"))
+    add("broadpeak_roundtrip", lambda s, d: _peaks(s, d, S.read_broadpeak, 9), with_ev(f"{peak} FROM ev"))
+    add("vcf_roundtrip", _vcf_roundtrip, f"""WITH {_LI} SELECT s AS POS, CAST(name AS VARCHAR) AS ID, repeat('A', 1 + (e - s) % 5) AS REF, flag AS ALT, 'chr' || substr(chrom, 2) AS chrom, s AS "start", s + 1 + (e - s) % 5 AS "end" FROM li""")
     add("flagship", _flagship, with_ev("""SELECT chrom, s AS start_x, e AS end_x, name AS name_x, ny AS name_y, dist FROM cfound JOIN dd USING (id) WHERE abs(dist) < 86400""", _subtract("", "x", "y") + """,
 dd AS (SELECT row_number() OVER () AS id, * FROM d),
 cp AS (SELECT dd.id, z.name AS ny, least(dd.e, z.e) - greatest(dd.s, z.s) AS ov, z.e <= dd.s AS up, CASE WHEN z.e <= dd.s THEN dd.s - z.e WHEN z.s >= dd.e THEN z.s - dd.e END AS gap FROM dd JOIN z ON dd.chrom = z.chrom),
@@ -328,6 +336,35 @@ def _bedgraph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bedgraph(spark, path)
 
 
+def _genome_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "genome")
+    genome(ev(spark, sf_dir)).select("chrom", "size").write.option("sep", "\t").csv(path)
+    return S.read_genome(spark, path)
+
+
+def _bed12_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "bed12")
+    write_bed(genes(spark, sf_dir), path)
+    return S.read_bed12(spark, path)
+
+
+def _peaks(spark: SparkSession, sf_dir: str, reader: Callable, fields: int) -> DataFrame:
+    """All events as a peak file of so many fields, read again."""
+    path = _scratch(spark, "peaks")
+    cols = ["chrom", "start", "end", "name", F.floor("score").cast("int"), "strand", "score", F.lit(-1.0), F.lit(0.5), F.lit(7)][:fields]
+    ev(spark, sf_dir).select(F.concat_ws("\t", *(F.col(n).cast("string") if isinstance(n, str) else n.cast("string") for n in cols))).write.text(path)
+    return reader(spark, path)
+
+
+def _vcf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "vcf")
+    t = li(spark, sf_dir)
+    row = F.concat_ws("\t", F.substring("chrom", 2, 9), F.col("start").cast("string"), F.col("name").cast("string"), F.expr("repeat('A', int(1 + (`end` - `start`) % 5))"), "flag")
+    head = spark.createDataFrame([("##fileformat=VCFv4.2",), ("#CHROM\tPOS\tID\tREF\tALT",)], "value string")
+    head.unionAll(t.select(row.alias("value"))).write.text(path)
+    return S.read_vcf(spark, path)
+
+
 def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks outside purchases, their nearest error, within a day."""
     left = S.bed_subtract(ev(spark, sf_dir, "click"), ev(spark, sf_dir, "purchase"))

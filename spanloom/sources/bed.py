@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,9 +47,17 @@ def sniff_fields(spark: SparkSession, path: str) -> int:
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, n: int) -> DataFrame:
-    fields = schema.fields[:n]
+    """The first ``n`` fields; start, end and size must be numbers, other fields that don't fit their type are null."""
     parts = F.split("value", "\t")
-    return _lines(spark, path).select(*(F.get(parts, F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)))
+
+    def field(i: int, f: T.StructField) -> Column:
+        raw = F.get(parts, F.lit(i))
+        value = raw.try_cast(f.dataType)
+        if f.name in ("start", "end", "size"):
+            value = F.when(value.isNull(), F.raise_error(F.concat(F.lit(f"no number for {f.name} in line: "), "value")).cast("long")).otherwise(value)
+        return value.alias(f.name)
+
+    return _lines(spark, path).select(*(field(i, f) for i, f in enumerate(schema.fields[:n])))
 
 
 def read_bed(spark: SparkSession, path: str, sort: bool = True, schema: T.StructType = BED12) -> DataFrame:
@@ -83,7 +91,7 @@ def read_broadpeak(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """All VCF columns as strings (POS long), and chrom ("chr" + CHROM), start (POS) and end (POS + length of REF)."""
+    """All VCF columns as strings (POS long), with chrom ("chr" + CHROM) in place of CHROM, start (POS) and end (POS + length of REF)."""
     header = spark.read.text(path).where(F.col("value").startswith("#CHROM")).head(1)
     if not header:
         raise ValueError("no #CHROM line")

@@ -65,6 +65,12 @@ def big_file(path, magic, chroms, blocks, fields=0, defined=0):
     return str(path)
 
 
+def test_malformed_coordinates(spark, tmp_path):
+    (tmp_path / "bad.bed").write_text("chr1\t5\tx\nchr1\t6\t7\n")
+    with pytest.raises(Exception, match="no number for end in line: chr1"):
+        S.read_bed(spark, str(tmp_path / "bad.bed")).collect()
+
+
 def test_bigwig(spark, tmp_path):
     part = lambda c, s, kind, step, span, items, n: struct.pack("<IIIIIBBH", c, s, 0, step, span, kind, 0, n) + items
     blocks = [
