@@ -193,6 +193,7 @@ def _wanted_texts(words: np.ndarray) -> Callable:
 
 #: Pieces of a text by number, with the sets of their first and last lines (0 if a further line with words is between them);
 #: and the 51-word windows around them: those that hold the pieces low to high, by hash.
+PLACED_BYTES = 1 << 18  # of text at once: a row for every dozen words is made from it
 PLACED = "text_hash long, copied boolean, k int, line int, start long, length long, piece long, one long, two long, low int, high int, hashes array<long>"
 
 
@@ -200,7 +201,7 @@ def _placed(least: int) -> Callable:
     """Of texts with the positions of shared pieces: a row for each of these (of copied texts: each piece), and for each run of windows around shared ones that hold the same pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=PLACED_BYTES):
             owner, _, _, _, flat = paragraphs(b.column(1))
             words, w = split_words(flat)
             w = hash_values(w)
