@@ -12,9 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.islands import islands
+from ..plans.islands import islands, merged
 from ..plans.nearest import around
 from ..plans.overlap import overlap_pairs
+from ..plans.running import chunk_width, running
 from ..schema import c, check_interval, group_keys, join_on
 from ..sources.bed import is_bigbed_path, is_bigwig_path
 from .transform import bed_slop
@@ -152,13 +153,20 @@ def bed_coverage(x: DataFrame, y: DataFrame | str, by: Sequence[str] | None = No
     y = check_interval(_opened(x, y, min_overlap > 0))
     keys = group_keys(x, by, y)
     at = [*keys, "start", "end"]
-    pairs = overlap_pairs(x.select(*map(c, at)).distinct(), y.select(*map(c, at)), keys, min_overlap, bin_size)
     mine = ["chrom", *(k + ".x" for k in at[1:])]
-    # the y parts inside one x interval form islands; a group is one x interval's overlaps
-    clipped = pairs.select(*(c(m).alias(f"__k_{k}") for m, k in zip(mine, at, strict=True)), F.greatest("`start.x`", "`start.y`").alias("start"), F.least("`end.x`", "`end.y`").alias("end"))
-    per = islands(clipped, [f"__k_{k}" for k in at], 0, width=0)
-    each = per.groupBy(*(c(f"__k_{k}") for k in at), "__island").agg(F.count("*").alias("n"), (F.max("end") - F.min("start")).alias("cov"))
-    total = each.groupBy(*(c(f"__k_{k}").alias(k) for k in at)).agg(F.sum("n").alias(".ints"), F.sum("cov").alias(".cov"))
+    probes, others = x.select(*map(c, at)).distinct(), y.select(*map(c, at))
+    per_x = [c(m).alias(f"__k_{k}") for m, k in zip(mine, at, strict=True)]
+    back = [c(f"__k_{k}").alias(k) for k in at]
+    pairs = overlap_pairs(probes, others, keys, min_overlap, bin_size)
+    if min_overlap <= 1:  # what covers x is what the merged y share with it: two sums, no window over an x interval's rows
+        ints = pairs.groupBy(*per_x).agg(F.count("*").alias(".ints")).select(*back, c(".ints"))
+        cov = overlap_pairs(probes, merged(others, keys), keys, 1, bin_size).groupBy(*per_x).agg(F.sum(c(".overlap")).alias(".cov")).select(*back, c(".cov"))
+        total = join_on(ints, cov, at, "left")
+    else:  # which y rows count depends on x: their parts inside one x interval form islands
+        clipped = pairs.select(*per_x, F.greatest("`start.x`", "`start.y`").alias("start"), F.least("`end.x`", "`end.y`").alias("end"))
+        per = islands(clipped, [f"__k_{k}" for k in at], 0, width=0)
+        each = per.groupBy(*(c(f"__k_{k}") for k in at), "__island").agg(F.count("*").alias("n"), (F.max("end") - F.min("start")).alias("cov"))
+        total = each.groupBy(*(c(f"__k_{k}").alias(k) for k in at)).agg(F.sum("n").alias(".ints"), F.sum("cov").alias(".cov"))
     out = join_on(x, total, at, "left")
     zero = lambda n: F.coalesce(c(n), F.lit(0).cast("long"))
     out = out.withColumns({".ints": zero(".ints"), ".cov": zero(".cov"), ".len": c("end") - c("start")})
@@ -173,17 +181,21 @@ def bed_subtract(x: DataFrame, y: DataFrame | str, by: Sequence[str] | None = No
     if any:
         return bed_intersect(x, y, by=by, invert=True, min_overlap=min_overlap, bin_size=bin_size).select("chrom", "start", "end")
     at = [*keys, "start", "end"]
-    pairs = overlap_pairs(x.select(*map(c, at)).distinct(), y.select(*map(c, at)).distinct(), keys, min_overlap, bin_size)
     mine = ["chrom", *(k + ".x" for k in at[1:])]
-    w = Window.partitionBy(*map(c, mine)).orderBy("`start.y`", "`end.y`")
-    seen = F.max("`end.y`").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    last = F.lead(F.lit(True)).over(w).isNull()
-    reach = F.greatest(seen, c("start.x"))
-    cut = pairs.withColumns({"__from": F.coalesce(reach, c("start.x")), "__last": last, "__top": F.greatest(F.coalesce(reach, c("start.x")), c("end.y"))})
-    pieces = F.array(
-        F.struct(c("__from").alias("s"), F.least("`start.y`", "`end.x`").alias("e")),
-        F.when(c("__last"), F.struct(c("__top").alias("s"), c("end.x").alias("e"))),
-    )
+    probes = x.select(*map(c, at)).distinct()
+    if min_overlap == 1:  # merged y don't meet: each knows its neighbours, and no window over an x interval's rows is needed
+        gone = merged(y.where(c("start") < c("end")).select(*map(c, at)), keys)
+        gone = running(gone, keys, ["start"], {"__prev": ("prev", c("end")), "__next": ("next", c("start"))}, chunk_width(gone, keys, "start"))
+        cut = pairs = overlap_pairs(probes, gone, keys, 1, bin_size)
+        before, after = F.greatest(c("start.x"), c("__prev.y")), c("end.y")
+        last = c("__next.y").isNull() | (c("__next.y") >= c("end.x"))
+    else:
+        pairs = overlap_pairs(probes, y.select(*map(c, at)).distinct(), keys, min_overlap, bin_size)
+        w = Window.partitionBy(*map(c, mine)).orderBy("`start.y`", "`end.y`")
+        seen = F.greatest(F.max("`end.y`").over(w.rowsBetween(Window.unboundedPreceding, -1)), c("start.x"))
+        cut = pairs.withColumns({"__from": seen, "__last": F.lead(F.lit(True)).over(w).isNull()})
+        before, after, last = c("__from"), F.greatest("__from", c("end.y")), c("__last")
+    pieces = F.array(F.struct(before.alias("s"), F.least("`start.y`", "`end.x`").alias("e")), F.when(last, F.struct(after.alias("s"), c("end.x").alias("e"))))
     cut = cut.select(*(c(m).alias(k) for m, k in zip(mine, at, strict=True)), F.explode(pieces).alias("__p")).where("__p is not null and __p.s < __p.e")
     touched = pairs.select(*(c(m).alias(k) for m, k in zip(mine, at, strict=True))).distinct()
     parts = join_on(x, cut, at).withColumns({"start": F.col("__p.s"), "end": F.col("__p.e")}).select(*map(c, x.columns))

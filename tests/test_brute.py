@@ -28,7 +28,11 @@ def test_set_verbs(spark, seed):
     for m in (0, 1, 4):
         want = sorted((k, s, e, a, b) for k, s, e in xs for j, a, b in ys if j == k and min(e, b) - max(s, a) >= m)
         assert rows(S.bed_intersect(x, y, min_overlap=m, bin_size=8), "chrom", "start.x", "end.x", "start.y", "end.y") == want
+    zero = ivl(spark, [*ys, *((k, p, p) for k in "ab" for p in range(0, 120, 9))])  # empty intervals cover nothing
+    assert rows(S.bed_subtract(x, zero)) == rows(S.bed_subtract(x, y))
     left = rows(S.bed_subtract(x, y))
+    whole = {r[:3] for r in rows(S.bed_subtract(ivl(spark, sorted(set(xs))), y)) if r[:3] in set(xs)}
+    assert whole == {(k, s, e) for k, s, e in xs if not covered(ys, k) & set(range(s, e))}
     per = sorted((k, p) for k, s, e in xs for p in range(s, e) if p not in covered(ys, k))
     assert sorted((k, p) for k, s, e in left for p in range(s, e)) == per
     cov = rows(S.bed_coverage(x, y), "chrom", "start", "end", ".ints", ".cov")
