@@ -292,7 +292,8 @@ def _paragraph_classes(s: Scratch, texts: DataFrame, said: DataFrame, per_text:
 def _pieces(s: Scratch, texts: DataFrame, said: DataFrame, per_text: DataFrame, least: int) -> DataFrame:
     """text_hash, line, start, length, piece, one and two of the pieces that are part of a run of ``RUN`` words in two documents."""
     took = said.where("piece is not null").select("text_hash", "piece", "pos")
-    shared = took.groupBy("piece").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("piece")
+    # tables of their own, so that Spark can split the rows of a hot piece or window in the joins
+    shared = s.table(took.groupBy("piece").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("piece"), "shared")
     at = took.join(shared, "piece", "left_semi").groupBy("text_hash").agg(F.collect_set("pos").alias("pos"))  # bounded by a text's length
     copies = per_text.where("low <> high").select("text_hash", F.lit(True).alias("copied"))
     need = s.table(at.join(copies, "text_hash", "full_outer").select("text_hash", "pos", F.coalesce("copied", F.lit(False)).alias("copied")), "need")
@@ -300,7 +301,7 @@ def _pieces(s: Scratch, texts: DataFrame, said: DataFrame, per_text: DataFrame,
     placed = s.table(found.select("text_hash", "text", "pos", "copied").mapInArrow(_placed(least), PLACED), "placed")
     rows = placed.where("hashes is null").drop("low", "high", "hashes")
     windows = placed.where("hashes is not null").select("text_hash", "low", "high", F.explode("hashes").alias("h"))
-    twice = windows.groupBy("h").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("h")
+    twice = s.table(windows.groupBy("h").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("h"), "twice")
     good = windows.join(twice, "h", "left_semi").select("text_hash", "low", "high").distinct()
     good = good.select("text_hash", F.explode(F.sequence("low", "high")).alias("k")).distinct()
     # the text itself stands in two documents, or one of the windows around the piece in two texts
