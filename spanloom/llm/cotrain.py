@@ -2,7 +2,7 @@
 
 The text view holds hashed words and bucketed shares of capitals, symbols, long words and repeats; the metadata view holds source,
 language and length. Both are logistic models fitted on at most ``labelled`` labelled documents, those with the smallest id
-hashes. In each round either model scores all unlabelled documents, and those of which it is surer than ``sure`` are counted,
+hashes; all others count as unlabelled. In each round either model scores all unlabelled documents, and those of which it is surer than ``sure`` are counted,
 feature by feature, as pseudo-labels for the other view; these counts (a table bounded by the number of hashed features) are
 the prior around which the other model is fitted again. At the end a held-out fifth of the labels calibrates and combines the
 two logits, and every document is scored. Features are made once and read in every round.
@@ -202,13 +202,13 @@ def _sure(model: Model, sure: float) -> Callable:
 def learn(features: DataFrame, labels: DataFrame, labelled: int = LABELLED, sure: float = SURE, rounds: int = ROUNDS) -> Model:
     """Fit on ``features`` (``FEATURES``); ``labels`` has doc_id and good (boolean)."""
     y = labels.groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("y")).where("y is not null")
-    some = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)  # a bounded broadcast, and a bounded gathering of their features
+    some = materialize(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "labelled")  # a bounded broadcast, and a bounded gathering of their features
     sample = features.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("y", "words", "meta"), "text_hash").alias("r"))
     got = sample.select("doc_id", "r.*").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return Model()
     held = np.array([xxhash.xxh3_64_intdigest(str(i)) % 5 == 0 for i in got["doc_id"].to_pylist()], bool)
-    free = features.join(y.select("doc_id"), "doc_id", "left_anti").select("words", "meta")
+    free = features.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").select("words", "meta")
 
     def exchange(model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
         out = np.zeros((2, 2, 1 << BITS))
