@@ -288,7 +288,7 @@ w2 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ws) AS i, count(*
     add("projection", lambda s, d: plain(S.bed_projection(x(s, d), o(s, d), g(s, d), by_chrom=True)), None)
     # randomising and files
     add("random", lambda s, d: S.bed_random(s, g(s, d), length=500, n=20_000, seed=7), None)
-    add("shuffle", lambda s, d: S.bed_shuffle(x(s, d), g(s, d), excl=y(s, d), seed=7), None)
+    add("shuffle", lambda s, d: S.bed_shuffle(x(s, d), g(s, d), excl=y(s, d), seed=7, keep_unplaced=True), None)
     add("bed_roundtrip", _bed_roundtrip, with_ev(f"SELECT chrom, {SE}, CAST(name AS VARCHAR) AS name, CAST(score AS DOUBLE) AS score, strand FROM ev"))
     add("bedgraph_roundtrip", _bedgraph_roundtrip, with_ev(f"SELECT chrom, {SE}, score AS value FROM ev"))
     add("genome_roundtrip", _genome_roundtrip, with_ev("SELECT chrom, size FROM genome"))

@@ -274,6 +274,26 @@ def test_random_and_shuffle(spark):
         S.bed_shuffle(x, g, incl=free, excl=free)
 
 
+def test_shuffle_keeps_rows_that_fit_nowhere(spark):
+    g = gen(spark, chr1=100, chr2=40)
+    x = ivl(spark, [(C, 0, n, n) for n in (0, 10, 40, 60, 61)] + [("chr2", 0, 50, 50), ("chr3", 0, 1, 1)], "name int")
+    gap = ivl(spark, [(C, 60, 65)])
+    kept = {r.name: (r.chrom, r.start, r.end) for r in S.bed_shuffle(x, g, excl=gap, seed=2, keep_unplaced=True).collect()}
+    assert len(kept) == 7 and kept[60] == (C, 0, 60) and kept[61] == (None, None, None) and kept[50][1] <= 10
+    kept = {r.name: r.start for r in S.bed_shuffle(x, g, excl=gap, within=True, seed=2, keep_unplaced=True).collect()}
+    assert [n for n in sorted(kept) if kept[n] is None] == [1, 50, 61]
+    with pytest.raises(Exception, match="no place for an interval of length 61"):
+        S.bed_shuffle(x.where("name = 61"), g, excl=gap, seed=2).collect()
+
+
+def test_shuffle_draws_all_starts_evenly(spark):
+    x = ivl(spark, [(C, 0, 3)] * 6000)
+    pool = ivl(spark, [(C, 0, 4), (C, 10, 12), ("chr2", 5, 10), ("chr2", 20, 23)])
+    drawn = {(r.chrom, r.start): r["count"] for r in S.bed_shuffle(x, gen(spark, chr1=100, chr2=100), incl=pool, seed=4).groupBy("chrom", "start").count().collect()}
+    assert sorted(drawn) == [(C, 0), (C, 1), ("chr2", 5), ("chr2", 6), ("chr2", 7), ("chr2", 20)]
+    assert all(850 < n < 1150 for n in drawn.values())
+
+
 def test_schema_checks(spark):
     with pytest.raises(ValueError, match="duplicate"):
         S.check_genome(spark.createDataFrame([("a", 1), ("a", 2)], "chrom string, size long"))
