@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -38,6 +38,8 @@ RATIO = 1.4
 FIRST = 4
 #: Members of a block that one R-tree takes.
 TILE = 4000
+#: Rows (key, group, set) that a task gathers before it deals them to buckets.
+CHUNKED = 1 << 20
 
 
 def class_of(n: np.ndarray) -> np.ndarray:
@@ -103,8 +105,66 @@ def _members(k: int) -> Callable:
     return run
 
 
-def _keys(k: int, num: int, den: int) -> Callable:
+def planes(a: np.ndarray) -> bytes:
+    """The first bytes of all numbers, their second bytes and so on: equal bytes stand together."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), 8).T).tobytes()
+
+
+def unplaned(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.int64).ravel()
+
+
+def dealt_chunks(key: np.ndarray, cg: np.ndarray, sid: np.ndarray, buckets: np.ndarray) -> pa.RecordBatch:
+    """The rows by bucket of their key, one binary each: sets with the lengths of their runs, then keys and groups."""
+    part = ((key >> U(32)) * U(len(buckets)) >> U(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    key, cg, sid, part = key[order].view(np.int64), cg[order], sid[order], part[order]
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    chunks = []
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        start = np.flatnonzero(np.concatenate([[True], sid[a + 1 : z] != sid[a : z - 1]]))
+        head = np.array([z - a, len(start)], np.int64)
+        chunks.append(b"".join([head.tobytes(), sid[a:z][start].tobytes(), *(planes(x) for x in (np.diff(np.append(start, z - a)), key[a:z], cg[a:z]))]))
+    return pa.RecordBatch.from_arrays([pa.array(buckets[part[edges[:-1]]]), pa.array(chunks, pa.binary())], names=["bucket", "chunk"])
+
+
+def _undealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for raw in b.column(0):
+            raw = raw.as_py()
+            n, runs = np.frombuffer(raw, np.int64, 2).tolist()
+            sid = np.repeat(np.frombuffer(raw, np.int64, runs, 16), unplaned(raw, runs, 16 + 8 * runs))
+            at = 16 + 16 * runs
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (unplaned(raw, n, at), unplaned(raw, n, at + 8 * n), sid)], names=["key", "cg", "sid"])
+
+
+def buckets_of(spark: SparkSession) -> np.ndarray:
+    """A number for each shuffle partition that hashes to it."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(0, 40 * n, 1, 1).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()  # a row per partition
+    return np.array(sorted(r.id for r in rows), np.int64)
+
+
+def _keys(k: int, num: int, den: int, buckets: np.ndarray) -> Callable:
+    """Chunks (bucket, chunk) of the rows (key, cg, sid): a set's keys of one bucket share its id."""
+    made = _set_keys(k, num, den)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for part in made(batches):
+            held.append(part)
+            rows += len(part[0])
+            if rows >= CHUNKED:
+                yield dealt_chunks(*map(np.concatenate, zip(*held, strict=True)), buckets)
+                held, rows = [], 0
+        if held:
+            yield dealt_chunks(*map(np.concatenate, zip(*held, strict=True)), buckets)
+
+    return run
+
+
+def _set_keys(k: int, num: int, den: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         seen: set[int] = set()  # of this task: copies of a set emit once
         for b in slices(batches):
             offsets, h = shingle_sets(b.column(0), k)
@@ -142,7 +202,7 @@ def _keys(k: int, num: int, den: int) -> Callable:
                         out.append((mix(empty.astype(U) + ~salt), np.full(len(empty), cls), groups + empty, np.full(len(empty), ids[part[i]])))
             if out:
                 key, cls, g, sid = map(np.concatenate, zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((cls << 32 | g).astype(np.int64)), pa.array(sid)], names=["key", "cg", "sid"])
+                yield key, (cls << 32 | g).astype(np.int64), sid
 
     return run
 
@@ -383,8 +443,9 @@ def shingle_components(docs: DataFrame, k: int, num: int, den: int, tile: int =
     docs = keyed(docs)
     with Scratch(docs.sparkSession) as s:
         members = s.table(docs.mapInArrow(_members(k), "doc_id long, n long, sid long, text_hash long"), "members")
-        keys = docs.select("text").mapInArrow(_keys(k, num, den), "key long, cg long, sid long")
-        live = keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_live, "block long, cg long, sid long")
+        chunks = docs.select("text").mapInArrow(_keys(k, num, den, buckets_of(docs.sparkSession)), "bucket long, chunk binary")
+        keys = chunks.repartition("bucket").select("chunk").mapInArrow(_undealt, "key long, cg long, sid long")
+        live = keys.sortWithinPartitions("key", "sid").mapInArrow(_live, "block long, cg long, sid long")
         blocks = s.table(live.groupBy("block", "sid").agg(F.min("cg").alias("cg"), F.max("cg").alias("last")), "blocks")
 
         def fetch(wanted: DataFrame) -> DataFrame:

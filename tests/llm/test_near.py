@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from spanloom.llm import passages
+from spanloom.llm import jaccard_join, passages
 from spanloom.llm.components import components
 from spanloom.llm.jaccard_join import classes_of, groups_of, shingle_components
 from spanloom.llm.rtree import CountTree, needed
@@ -231,3 +232,17 @@ def test_pieces_meet_in_every_run():
         took, h = passages.pieces(offsets, hash_values(flat))
         mine = [set(h[(took >= a) & (took < z)].tolist()) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
         assert mine[0] & mine[1]
+
+
+def test_keys_are_dealt_in_chunks(spark):
+    rng = np.random.default_rng(3)
+    key, cg, sid = rng.integers(0, 1 << 63, 5000, np.int64).view(np.uint64) * np.uint64(2), rng.integers(0, 1 << 40, 5000), np.repeat(rng.integers(-(1 << 62), 1 << 62, 50), 100)
+    buckets = jaccard_join.buckets_of(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r.p for r in spark.createDataFrame([(int(b),) for b in buckets], "b long").select(F.pmod(F.hash("b"), F.lit(n)).alias("p")).collect()) == list(range(n))
+    dealt = jaccard_join.dealt_chunks(key, cg, sid, buckets)
+    back = [list(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in jaccard_join._undealt([dealt.select(["chunk"])])]
+    assert sorted(sum(back, [])) == sorted(zip(key.view(np.int64).tolist(), cg.tolist(), sid.tolist(), strict=True)) and len(back) == n
+    where = [{int(k) & (1 << 64) - 1 for k, _, _ in b} for b in back]
+    assert not any(a & b for i, a in enumerate(where) for b in where[:i])
+    assert sum(len(c) for c in dealt.column(1).to_pylist()) < 18 * 5000  # rows of three numbers take 24 bytes each and more
