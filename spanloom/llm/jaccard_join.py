@@ -4,11 +4,13 @@ Words of a text give its set of k-word shingles. Shingles are hashed into groups
 Two sets of size x <= y with Jaccard >= t differ in at most d = (x + y)(1 - t)/(1 + t) shingles, hence in at most d groups.
 With more than d groups per size class, every linked pair has a group of equal content, so sets are dealt to blocks by
 (class, group, content): an exact partition of the join that a frequent shingle cannot make hot, as it takes a whole equal
-group. Inside a block an R-tree over the count vectors finds the pairs whose summed coordinate minima reach the needed
+group. A set's groups are ranked, those of most shingles first, and only its first d + 1 are dealt, by the largest d of its own
+size: a linked pair's first equal group is among these on both sides, as at most d groups of either come before it. Groups of
+one frequent shingle, in which unlike sets meet, are thus mostly left out. Inside a block an R-tree over the count vectors finds the pairs whose summed coordinate minima reach the needed
 overlap; unequal groups of equal count tighten the bound; survivors are verified on the shingle sets.
 
 Nothing expands all pairs of a group: texts of one set are one point; blocks with the same members are one block; a pair is
-handled only in its first and last common blocks; a first round verifies each point's best survivor, and a second round all survivors
+handled only in the blocks of its first two equal groups by rank; a first round verifies each point's best survivor, and a second round all survivors
 between the components found so far. Blocks beyond ``tile`` members are cut into pairs of tiles.
 
 Edge cases: null, empty and wordless texts have an empty set and stay alone; fewer than k words are one shingle; a null id is
@@ -40,6 +42,8 @@ FIRST = 4
 TILE = 4000
 #: Rows (key, group, set) that a task gathers before it deals them to buckets.
 CHUNKED = 1 << 20
+#: A mark is class << CLASS | rank; a group's rank is (MOST - its count, MOST at most) << PLACE | its number.
+CLASS, PLACE, MOST = 40, 32, 255
 
 
 def class_of(n: np.ndarray) -> np.ndarray:
@@ -62,6 +66,17 @@ def classes_of(n: int, num: int, den: int) -> range:
     return range(int(class_of(np.array([-(-num * n // den)]))[0]), int(class_of(np.array([n]))[0]) + 1)
 
 
+def dealt_groups(n: np.ndarray, cls: int, num: int, den: int) -> np.ndarray:
+    """How many of its groups sets of sizes ``n`` are dealt to in a class: one more than can differ from a partner there."""
+    most = np.where(class_of(n) == cls, den * n // num, np.minimum(n, math.ceil(RATIO ** (cls + 1)) + 1))
+    return (den - num) * (n + most) // (den + num) + 1
+
+
+def ranks(counts: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Order of groups: those of most shingles first."""
+    return (MOST - np.minimum(counts, MOST).astype(np.int64)) << PLACE | groups
+
+
 def group_index(hashes: np.ndarray, groups: int) -> np.ndarray:
     return ((mix(hashes + U(0x51ED)) >> U(33)) * U(groups) >> U(31)).astype(np.int64)
 
@@ -192,17 +207,20 @@ def _set_keys(k: int, num: int, den: int) -> Callable:
                     order = np.argsort(cell, kind="stable")
                     cell, vals = cell[order], mix(hh[order])
                     start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-                    content, cell = np.add.reduceat(vals, start), cell[start]
-                    g = cell % groups
-                    out.append((mix(content + salt + g.astype(U) * U(0xD1B54A32D192ED03)), np.full(len(g), cls), g, ids[part][cell // groups]))
-                    # sets with more empty groups than the spare may meet in empty groups alone
-                    filled = np.bincount(cell // groups, minlength=len(part))
-                    for i in np.flatnonzero(groups - filled > spare):
-                        empty = np.setdiff1d(np.arange(groups), g[cell // groups == i])
-                        out.append((mix(empty.astype(U) + ~salt), np.full(len(empty), cls), groups + empty, np.full(len(empty), ids[part[i]])))
+                    content, cell, count = np.add.reduceat(vals, start), cell[start], np.diff(np.append(start, len(cell)))
+                    g, who = cell % groups, cell // groups
+                    rank, most = ranks(count, g), dealt_groups(n[part], cls, num, den)
+                    order = np.lexsort((rank, who))
+                    filled = np.bincount(who, minlength=len(part))
+                    order = order[segments(filled)[1] < most[who[order]]]
+                    g, who, rank = g[order], who[order], rank[order]
+                    out.append((mix(content[order] + salt + g.astype(U) * U(0xD1B54A32D192ED03)), cls << CLASS | rank, ids[part][who]))
+                    # empty groups come last
+                    for i in np.flatnonzero(filled < most):
+                        empty = np.setdiff1d(np.arange(groups), cell[cell // groups == i] % groups)[: most[i] - filled[i]]
+                        out.append((mix(empty.astype(U) + ~salt), cls << CLASS | ranks(np.zeros(len(empty), np.int64), empty), np.full(len(empty), ids[part[i]])))
             if out:
-                key, cls, g, sid = map(np.concatenate, zip(*out, strict=True))
-                yield key, (cls << 32 | g).astype(np.int64), sid
+                yield tuple(map(np.concatenate, zip(*out, strict=True)))
 
     return run
 
@@ -252,7 +270,7 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(start, len(key)))
-            name = mix(np.add.reduceat(mix(sid.view(U)), start) + (cg[start] >> 32).astype(U))
+            name = mix(np.add.reduceat(mix(sid.view(U)), start) + (cg[start] >> CLASS).astype(U))
             block = np.repeat(name, size)
             live = np.repeat(size > 1, size)
             block, cg, sid = block[live], cg[live], sid[live]
@@ -309,8 +327,8 @@ def _search(num: int, den: int, best: bool) -> Callable:
         counts = unpacked(t.column("counts").to_pylist(), contents.shape[1])
         own = t.column("marks").to_pylist()
         marks = np.frombuffer(b"".join(own), np.int64).reshape(len(t), -1) if own[0] is not None else None
-        groups, two = counts.shape[1], at["mine"][0] >> 20 != at["mine"][0] & 0xFFFFF
-        first, last = int(at["cg"][0] & 0xFFFFFFFF), int(at["last"][0] & 0xFFFFFFFF)  # the block's marks, the same for all members
+        two = at["mine"][0] >> 20 != at["mine"][0] & 0xFFFFF
+        first, last = (int(at[c][0]) & (1 << CLASS) - 1 for c in ("cg", "last"))  # the block's marks, the same for all members
         for i, j, bound in CountTree(counts, at["n"]).pairs(num, den):
             ok = at["comp"][i] != at["comp"][j]
             if two:
@@ -319,16 +337,17 @@ def _search(num: int, den: int, best: bool) -> Callable:
             for s in range(0, len(i), 2048):
                 a, b, bd = i[s : s + 2048], j[s : s + 2048], bound[s : s + 2048]
                 same_count, same = counts[a] == counts[b], contents[a] == contents[b]
-                filled = counts[a] > 0
-                equal = same & same_count & filled
-                bd = bd - (same_count & filled & ~same).sum(1)
-                if marks is not None:
-                    both = marks[a] == marks[b]
-                else:
-                    both = np.concatenate([equal, ~filled & (counts[b] == 0)], axis=1) if last >= groups else equal
+                bd = bd - (same_count & (counts[a] > 0) & ~same).sum(1)
                 ok = bd >= needed(at["n"][a] + at["n"][b], num, den)
-                if not best:  # in the pair's first and last common blocks only; a chance equality of contents hides one at most
+                if not best and marks is not None:  # in the pair's first and last common blocks only
+                    both = marks[a] == marks[b]
                     ok &= (both.argmax(1) == first) | (both.shape[1] - 1 - both[:, ::-1].argmax(1) == last)
+                elif not best:  # in the blocks of its first two equal groups; a chance equality of contents takes the place of one at most
+                    a, b, bd, same = a[ok], b[ok], bd[ok], (same & same_count)[ok]
+                    rank = np.where(same, ranks(counts[a], np.arange(counts.shape[1])), np.int64(1 << CLASS))
+                    one = rank.min(1)
+                    rank[rank == one[:, None]] = 1 << CLASS
+                    ok = (one == first) | (rank.min(1) == first)
                 if ok.any():
                     yield a[ok], b[ok], bd[ok]
 
@@ -378,14 +397,14 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def link_sets(s: Scratch, blocks: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int, tile: int = TILE, sketches: Callable | None = None) -> DataFrame:
     """a, b: verified links that span the components of all sets.
 
-    ``blocks`` has block, sid, cg and last (class << 32 | its first and last mark); ``fetch`` gives sid and hashes of a table of sids; it may repeat them and give others.
-    ``sketches`` gives each set's points; marks say in which of its blocks a pair meets first and last, and are the groups'
-    contents where null.
+    ``blocks`` has block, sid, cg and last (class << CLASS | its first and last mark); ``fetch`` gives sid and hashes of a table of sids; it may repeat them and give others.
+    ``sketches`` gives each set's points; marks say in which of its blocks a pair meets first and last; where they are null,
+    the groups' ranks say where it meets first.
     """
     wanted = blocks.select("sid").distinct()
     made = fetch(wanted).mapInArrow(sketches or _sketches(num, den), "sid long, cls long, n long, counts binary, contents binary, marks binary")
     points = s.table(made.join(wanted, "sid", "left_semi").dropDuplicates(["sid", "cls"]), "points")
-    dealt = blocks.select("block", "cg", "last", F.shiftright("cg", 32).alias("cls"), "sid")
+    dealt = blocks.select("block", "cg", "last", F.shiftright("cg", CLASS).alias("cls"), "sid")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()

@@ -13,7 +13,7 @@ from spanloom.llm import jaccard_join, passages
 from spanloom.llm.components import components
 from spanloom.llm.jaccard_join import classes_of, groups_of, shingle_components
 from spanloom.llm.rtree import CountTree, needed
-from spanloom.llm.words import hash_values, split_words
+from spanloom.llm.words import hash_values, shingle_sets, split_words
 from tests.llm.util import AWKWARD, docs, low, words
 
 
@@ -246,3 +246,39 @@ def test_keys_are_dealt_in_chunks(spark):
     where = [{int(k) & (1 << 64) - 1 for k, _, _ in b} for b in back]
     assert not any(a & b for i, a in enumerate(where) for b in where[:i])
     assert sum(len(c) for c in dealt.column(1).to_pylist()) < 18 * 5000  # rows of three numbers take 24 bytes each and more
+
+
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (8, 10), (1, 2)])
+def test_sets_are_dealt_to_their_first_groups_only(num, den):
+    rng = random.Random(num)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n)) for n in (3, 9, 24, 25, 60, 150, 400, 2000) for _ in range(3)]
+    for _ in range(150):
+        w = rng.choice(texts).split()
+        for _ in range(rng.randint(1, 6)):
+            j = rng.randrange(len(w))
+            w[j : j + rng.choice([0, 1, 9])] = [f"w{rng.randint(0, 300)}"] * rng.randint(0, 2)
+            w = w or ["w"]
+        texts.append(" ".join(w))
+    offsets, h = shingle_sets(pa.array(texts), 4)
+    sets = [h[a:z] for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+    dealt, linked = [], 0
+    for t, s in zip(texts, sets, strict=True):
+        rows = list(jaccard_join._set_keys(4, num, den)(iter([pa.RecordBatch.from_arrays([pa.array([t])], names=["text"])])))
+        own = [dict(zip(key.tolist(), cg.tolist(), strict=True)) for key, cg, _ in rows]
+        dealt.append(own[0] if own else {})
+        # of any partner, so many shingles can differ
+        most = (den - num) * (len(s) + den * len(s) // num) // (den + num)
+        assert max(Counter(cg >> jaccard_join.CLASS for cg in dealt[-1].values()).values(), default=0) <= most + 1
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        x, y = sets[a], sets[b]
+        both = len(np.intersect1d(x, y))
+        if both == max(len(x), len(y)) or den * both < num * (len(x) + len(y) - both):
+            continue
+        linked += 1
+        cls = int(jaccard_join.class_of(np.array([min(len(x), len(y))]))[0])
+        (cx, hx), (cy, hy) = (jaccard_join.sketch(s, cls, num, den) for s in (x, y))
+        equal = np.flatnonzero((cx == cy) & (hx == hy))
+        first = min(jaccard_join.ranks(cx[equal], equal).tolist())
+        common = [cg & (1 << jaccard_join.CLASS) - 1 for key, cg in dealt[a].items() if key in dealt[b] and cg >> jaccard_join.CLASS == cls]
+        assert min(common) == first
+    assert linked > 100
