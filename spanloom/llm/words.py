@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,10 @@ import regex
 import xxhash
 
 U = np.uint64
-#: Texts of letters that NFC leaves alone and that lower-case to one letter.
-PLAIN = regex.compile("[\x00-\u012f\u0131-\u024f]*")
 #: The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = dict(zip(_SHOWN + [b for b in range(256) if b not in _SHOWN], [chr(b) for b in _SHOWN] + [chr(256 + i) for i in range(256 - len(_SHOWN))], strict=True))
+_LETTERS = {b: BYTE_LETTERS[b] for b in range(256)}
 #: Text bytes that a kernel takes at once; one longer text is taken alone.
 SLICE_BYTES = 2 << 20
 
@@ -111,16 +111,37 @@ def shingle_sets(texts: pa.Array, k: int, least: int = 1, split: tuple[np.ndarra
     return np.searchsorted(owner, np.arange(len(n) + 1)), h
 
 
+def gathered(pool: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of a pool one after another, and their ends with a first 0."""
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(begin - ends[:-1], n)
+    at += np.arange(len(at))
+    return pool[at], ends
+
+
+#: The word vocabulary's pattern; no piece holds white space.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+#: What plain letters are in it: 0 white space, 1 letters, 2 numbers, 3 others.
+_KINDS = np.array([0 if regex.match(r"\s", c) else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3 for c in map(chr, range(0x250))])
+
+
 class Chunks:
-    """Exact tokenizer ids by encoding each distinct chunk of text once.
+    """Exact tokenizer ids by encoding each distinct chunk of a slice once.
 
     A text is cut before every single ASCII white-space character between two other characters. Both public vocabularies
     split there anyway: the byte-level pattern takes one leading blank with what follows and any other single white space
     alone, and the word vocabulary drops white space. No cut is made beside a non-ASCII white-space character.
+
+    Chunks of plain letters (below U+0250, which NFC keeps and which lower-case to one letter) are put together from the ids of
+    their pieces, which are found in all of them at once; others go to the library. Only distinct pieces are handled one by one.
     """
 
-    #: Distinct chunks kept between slices and tasks of a worker; beyond that only those of the present slice stay.
+    #: Distinct pieces, and chunks of other letters, kept between slices and tasks of a worker; beyond that only those of the present slice stay.
     KEPT = 700_000
+    #: Stands between chunks, with white space around it; no plain letter.
+    BETWEEN = "\ue000"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -138,36 +159,86 @@ class Chunks:
             return None
         if not pre[0]["invert"] or pre[0]["behavior"] != "Removed" or pre[1]["use_regex"] or pre[1]["add_prefix_space"]:
             return None
-        return regex.compile(pre[0]["pattern"]["Regex"])
-
-    def _encode(self, new: list[bytes]) -> list[list[int]]:
-        """Ids of chunks that are not known. A chunk of plain letters (below U+0250, which NFC keeps) is put together from its pieces' ids."""
-        texts = [w.decode() for w in new]
-        out: list = [None] * len(new)
-        if self.pieces:
-            find, of, tokenize = self.pieces.findall, self.of_piece, self.tokenizer.model.tokenize
-            for i, t in enumerate(texts):
-                if "<|" in t or not (t.isascii() or PLAIN.fullmatch(t)):
-                    continue
-                ids: list[int] = []
-                for p in find(t.lower()):
-                    got = of.get(p)
-                    if got is None:
-                        letters = p if p.isascii() and p.isprintable() else "".join(BYTE_LETTERS[b] for b in p.encode())
-                        got = of[p] = [x.id for x in tokenize(letters)]
-                    ids += got
-                out[i] = ids
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+        if pre[0]["pattern"].get("Regex") != WORD_PATTERN:
+            return None  # another one might take white space
+        return regex.compile(f"{self.BETWEEN}|{WORD_PATTERN}")
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.of_piece: dict[str, list[int]] = {}
-        self.sizes = np.zeros(0, np.int64)
+        self.of_piece: dict[str, int] = {self.BETWEEN: 0}
+        self.sizes = np.zeros(1, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
+    def _learn(self, got: list[list[int]]) -> range:
+        """Codes of new lists of ids."""
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, got), np.int64, len(got))])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.uint32)])
+        return range(len(self.sizes) - len(got), len(self.sizes))
+
+    def _pieces_known(self, pieces: list[str]) -> np.ndarray:
+        """Codes of pieces of plain letters; new ones are encoded."""
+        if new := list(set(pieces).difference(self.of_piece)):
+            tokenize = self.tokenizer.model.tokenize
+            letters = (p if p.isascii() and p.isprintable() else p.lower().encode().decode("latin-1").translate(_LETTERS) for p in new)
+            self.of_piece.update(zip(new, self._learn([[x.id for x in tokenize(p)] for p in letters]), strict=True))
+        return np.fromiter(map(self.of_piece.__getitem__, pieces), np.int64, len(pieces))
+
+    @staticmethod
+    def plain(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which chunks have plain letters only, and nothing like an added token; which have an apostrophe."""
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: ends[-1]]
+        odd = data >= 0xCA
+        odd[:-1] |= ((data[:-1] == 0xC9) & (data[1:] > 0x8F)) | ((data[:-1] == 0xC4) & (data[1:] == 0xB0)) | ((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        holds = lambda x: (before := np.concatenate([[0], np.cumsum(x)]))[ends[1:]] > before[ends[:-1]]
+        return ~holds(odd), holds(data == 0x27)
+
+    @staticmethod
+    def split(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Number of pieces of each chunk of plain letters without apostrophes, and all pieces: runs of letters, single numbers, runs of others; A-Z is lower-cased."""
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        more = (data & 0xC0) == 0x80
+        point = data.astype(np.int64)
+        lead = np.flatnonzero(data >= 0xC0)
+        point[lead] = point[lead + 1] = (point[lead] & 0x1F) << 6 | (point[lead + 1] & 0x3F)
+        kind = _KINDS[point]
+        cut = np.ones(len(data) + 1, bool)
+        cut[1:-1] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & ~more[1:]
+        cut[ends] = True
+        start = np.flatnonzero(cut)
+        keep = kind[start[:-1]] > 0
+        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        flat = pa.Array.from_buffers(pa.large_string(), len(keep), [None, pa.py_buffer(start.astype(np.int64)), pa.py_buffer(data)])
+        return np.diff(np.concatenate([[0], np.cumsum(keep)])[np.searchsorted(start, ends)]), flat.filter(pa.array(keep))
+
+    def _codes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A new order of distinct chunks, each one's number of codes in that order, and their codes."""
+        if len(self.known) + len(self.of_piece) > self.KEPT:
+            self.forget()
+        plain, quoted = self.plain(words) if self.pieces else np.zeros((2, len(words)), bool)
+        sorts = plain & ~quoted, plain & quoted, ~plain
+        order, n, codes = np.concatenate(list(map(np.flatnonzero, sorts))), [], []
+        smooth, quotes, other = (words.filter(pa.array(x)) for x in sorts)
+        if len(smooth):
+            number, flat = self.split(smooth)
+            coded = pc.dictionary_encode(flat)
+            n.append(number)
+            codes.append(self._pieces_known(coded.dictionary.to_pylist())[coded.indices.to_numpy()])
+        if len(quotes):
+            got = self._pieces_known(self.pieces.findall(f" {self.BETWEEN} ".encode().join(quotes.to_pylist()).decode().lower()))
+            n.append(np.diff(np.concatenate([[-1], np.flatnonzero(got == 0), [len(got)]])) - 1)
+            codes.append(got[got != 0])
+        if len(other):
+            other = other.to_pylist()
+            if new := [w for w in other if w not in self.known]:
+                got = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+                self.known.update(zip(new, self._learn([e.ids for e in got]), strict=True))
+            n.append(np.ones(len(other), np.int64))
+            codes.append(np.fromiter(map(self.known.__getitem__, other), np.int64, len(other)))
+        return order, np.concatenate(n), np.concatenate(codes)
+
     @staticmethod
     def cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """Chunk offsets per text and the flat chunk array (over the same bytes)."""
@@ -195,21 +266,15 @@ class Chunks:
         if not len(flat):
             return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.uint32)
         coded = pc.dictionary_encode(flat)
-        words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > max(self.KEPT, len(words)):
-            self.forget()
-        known = self.known
-        if new := [w for w in words if w not in known]:
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            got = self._encode(new)
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, got), np.int64, len(got))])
-            self.pool = np.concatenate([self.pool, np.fromiter((x for e in got for x in e), np.uint32)])
-        start = (np.cumsum(self.sizes) - self.sizes)
-        code = np.fromiter((known[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()]
-        each = self.sizes[code]
-        owner, pos = segments(each)
-        ends = np.concatenate([[0], np.cumsum(each)])
-        return ends[offsets], self.pool[start[code][owner] + pos]
+        order, n, codes = self._codes(coded.dictionary)
+        begin = np.cumsum(self.sizes) - self.sizes
+        pool, ends = gathered(self.pool, begin[codes], self.sizes[codes])
+        ends = ends[np.concatenate([[0], np.cumsum(n)])]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        code = place[coded.indices.to_numpy()]
+        out, ends = gathered(pool, ends[:-1][code], np.diff(ends)[code])
+        return ends[offsets], out
 
 
 #: The byte-level pre-tokenizer's fixed pattern.

@@ -100,3 +100,17 @@ def test_token_store(spark, tmp_path):
     assert [r.n_tokens for r in token_store.lookup(spark, path, [14]).collect()] == [n for d, _, n, _ in want if d == 14]
     token_store.write_tokens(df.where("false"), str(tmp_path / "none"), WORD, 2)
     assert token_store.read_tokens(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pieces_of_chunks_are_found_at_once():
+    rng = random.Random(11)
+    letters = [chr(c) for c in range(0x260)]
+    texts = [f"x{c}y {c}{c} 1{c} \n{c}  {c}.'S {c}'lL" for c in letters]
+    texts += ["".join(rng.choice([*" 'aZ1.<|stRe", *rng.sample(letters, 3)]) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    tokenizer, c = Tokenizer.from_file(WORD), Chunks(WORD)
+    offsets, ids = c.ids(pa.array(texts))
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [ids[a:z].tolist() for a, z in zip(offsets[:-1], offsets[1:], strict=True)] == [e.ids for e in want]
+    c.forget()
+    c.ids(pa.array(["Grün, grün! GRÜN? (grün) don't DON'T 1 11 111"]))
+    assert {p for p in c.of_piece if p.isalpha()} <= {"grün", "grÜn", "don", "t"} and not c.known  # a piece is encoded once, whatever its chunk
