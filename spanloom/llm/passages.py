@@ -35,7 +35,7 @@ from .components import components
 from .jaccard_join import TILE, _live, group_index, keyed, link_sets, packed, set_ids, text_hash
 from .sieve import places, sieve
 from .storage import Scratch, free_name, materialize
-from .words import U, hash_values, mix, segments, shingle_sets, slices, split_words
+from .words import U, mix, segments, shingle_sets, slices, split_words, word_hashes
 
 K, NUM, DEN = 5, 8, 10
 BANDS, ROWS = 22, 5
@@ -149,7 +149,7 @@ def _said(least: int) -> Callable:
         for b in _new(batches):
             owner, line, start, length, flat = paragraphs(b.column(0))
             words, w = split_words(flat)
-            w = hash_values(w)
+            w = word_hashes(w)
             offsets, h = shingle_sets(flat, K, least, (words, w))
             keep, ends = _filled(offsets)
             sid = set_ids(offsets, h)[keep]
@@ -204,7 +204,7 @@ def _placed(least: int) -> Callable:
         for b in slices(batches, limit=PLACED_BYTES):
             owner, _, _, _, flat = paragraphs(b.column(1))
             words, w = split_words(flat)
-            w = hash_values(w)
+            w = word_hashes(w)
             sid = set_ids(*shingle_sets(flat, K, least, (words, w)))
             words = words[np.searchsorted(owner, np.arange(b.num_rows + 1))]
             took, piece = pieces(words, w)

@@ -18,6 +18,10 @@ U = np.uint64
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = dict(zip(_SHOWN + [b for b in range(256) if b not in _SHOWN], [chr(b) for b in _SHOWN] + [chr(256 + i) for i in range(256 - len(_SHOWN))], strict=True))
 _LETTERS = {b: BYTE_LETTERS[b] for b in range(256)}
+#: Bytes of a string that is hashed with others.
+LONG = 256
+#: Masks of the first bytes of eight.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 #: Text bytes that a kernel takes at once; one longer text is taken alone.
 SLICE_BYTES = 2 << 20
 
@@ -51,9 +55,13 @@ def release() -> None:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit values."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    y = x >> U(30)
+    y ^= x
+    y *= U(0xBF58476D1CE4E5B9)
+    y ^= y >> U(27)
+    y *= U(0x94D049BB133111EB)
+    y ^= y >> U(31)
+    return y
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
@@ -78,6 +86,32 @@ def hash_values(flat: pa.Array) -> np.ndarray:
     return own[coded.indices.to_numpy()]
 
 
+def word_hashes(flat: pa.Array) -> np.ndarray:
+    """64-bit hash of each string: its length, then eight bytes at a time, are mixed in; strings over ``LONG`` bytes are hashed one by one."""
+    if not len(flat):
+        return np.zeros(0, U)
+    flat = flat.cast(pa.large_binary())
+    ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    data = np.concatenate([np.frombuffer(flat.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], np.zeros(8, np.uint8)])
+    at, left = ends[:-1] - ends[0], np.diff(ends)
+    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))  # from each byte on
+    out = mix(left.astype(U) * U(0x9E3779B97F4A7C15) + U(1))
+    long_ = np.flatnonzero(left > LONG)
+    for i in long_.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(flat[i].as_py())
+    on = np.flatnonzero((left > 0) & (left <= LONG)) if len(long_) or not left.all() else None
+    while on is None or len(on):
+        rows = slice(None) if on is None else on
+        rest = left[rows]
+        part = eight[at[rows]] & _FIRST[np.minimum(rest, 8)]
+        out[rows] = mix((out[rows] ^ part) * U(0xD1B54A32D192ED03) + U(0x51ED))
+        more = np.flatnonzero(rest > 8)
+        on = more if on is None else on[more]
+        at[on] += 8
+        left[on] -= 8
+    return out
+
+
 def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Owner and position inside the owner for ragged rows of the given lengths."""
     owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -89,7 +123,7 @@ def shingle_sets(texts: pa.Array, k: int, least: int = 1, split: tuple[np.ndarra
     """Offsets and the sorted distinct hashes of each text's k-word shingles; fewer words count as one shingle; texts of less than ``least`` words have none. ``split`` has the word offsets and hashes if they are known."""
     if split is None:
         offsets, flat = split_words(texts)
-        split = offsets, hash_values(flat)
+        split = offsets, word_hashes(flat)
     offsets, w = split
     n = np.diff(offsets)
     padded = np.concatenate([w, np.zeros(k, U)])

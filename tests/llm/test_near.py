@@ -13,7 +13,7 @@ from spanloom.llm import jaccard_join, passages
 from spanloom.llm.components import components
 from spanloom.llm.jaccard_join import classes_of, groups_of, shingle_components
 from spanloom.llm.rtree import CountTree, needed
-from spanloom.llm.words import hash_values, shingle_sets, split_words
+from spanloom.llm.words import hash_values, shingle_sets, split_words, word_hashes
 from tests.llm.util import AWKWARD, docs, low, words
 
 
@@ -282,3 +282,16 @@ def test_sets_are_dealt_to_their_first_groups_only(num, den):
         common = [cg & (1 << jaccard_join.CLASS) - 1 for key, cg in dealt[a].items() if key in dealt[b] and cg >> jaccard_join.CLASS == cls]
         assert min(common) == first
     assert linked > 100
+
+
+def test_word_hashes():
+    rng = random.Random(1)
+    w = list({"".join(rng.choices("ab\x00zé中", k=rng.choice([0, 1, 2, 3, 5, 7, 8, 9, 15, 16, 17, 30, 255, 256, 257, 300, 1000]))) for _ in range(20000)})
+    h = word_hashes(pa.array(w))
+    assert len(set(h.tolist())) == len(w)
+    # whatever stands beside a word
+    assert (word_hashes(pa.array(["x"] * 7 + w).slice(7)) == h).all()
+    assert all(word_hashes(pa.array([w[i]], t))[0] == h[i] for i in range(300) for t in (pa.string(), pa.large_string()))
+    some = rng.sample(range(len(w)), 500)
+    assert (word_hashes(pa.array([w[i] for i in some])) == h[some]).all()
+    assert len(word_hashes(pa.array([], pa.string()))) == 0
